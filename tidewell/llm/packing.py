@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -94,15 +95,20 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, utf8(text).translate(_TABLE).split(b" ")))
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: what it has learned serves the worker's later tasks too."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32."""
 
-    def run(batch, cache={}):  # noqa: B006  one tokenizer for each worker
-        if "e" not in cache:
-            cache["e"] = Encoder(tokenizer)
+    def run(batch):
+        encode = encoder(tokenizer)
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = cache["e"](t) + _CLOSE
+            ids = encode(t) + _CLOSE
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 for name, v in zip(out, (d, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
