@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing
+from . import decontaminate, packing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
     "op2_decontaminate": decontaminate.op2,
     "op7_pack": packing.op7,
 }
