@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, toxicity
+from . import decontaminate, license_scan, packing, pii, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_decontaminate": decontaminate.op2,
+    "op6_pii": pii.op6,
     "op7_pack": packing.op7,
+    "op9_license_scan": license_scan.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
