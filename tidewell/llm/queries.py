@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, packing, pii, toxicity
+from . import decontaminate, jaccard_join, kdtree, license_scan, packing, pii, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_decontaminate": decontaminate.op2,
+    "op3_kdtree": kdtree.op3,
+    "op5_jaccard_join": jaccard_join.op5,
     "op6_pii": pii.op6,
     "op7_pack": packing.op7,
     "op9_license_scan": license_scan.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_kdtree": kdtree.SQL}
