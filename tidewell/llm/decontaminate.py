@@ -92,26 +92,26 @@ def _blocks(items: DataFrame, id_column: str, text_column: str):
     yield block
 
 
-SCHEMA = "doc_id long, text string, n_words long, hit_words array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: doc_id, text, n_words, hit_words (runs of word numbers), items, spans (runs of character offsets).
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, text, n_words, hit_words (runs of word numbers), items, spans (runs of character offsets),
+    and the columns named in `others`.
 
     The items are a query set: they're read in blocks of at most BLOCK_BYTES, each of which is one broadcast automaton.
     The usual set fits one block: the texts are scanned once, without a shuffle. Further blocks scan what came out of
     the one before and add their hits to each row.
     """
     spark = docs.sparkSession
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
+    schema = "".join(f"`{c}` {out.schema[c].dataType.simpleString()}, " for c in out.columns)
+    schema += "n_words long, hit_words array<struct<a:long,b:long>>, items array<string>, spans array<struct<a:long,b:long>>"
     for block in _blocks(items, item_id, item_text):
         held = spark.sparkContext.broadcast(pickle.dumps((block, n)))
 
         def run(batch, held=held, cache={}):  # noqa: B006  one automaton for each worker and block
             if "a" not in cache:
                 cache["a"] = build(*pickle.loads(held.value))
-            so_far = batch.to_pydict()
-            out = {f: so_far.get(f, []) for f in ("doc_id", "text")} | {f: [] for f in ("n_words", "hit_words", "items", "spans")}
+            so_far = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names) if c in ("text", "hit_words", "items")}
+            out = {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {f: [] for f in ("n_words", "hit_words", "items", "spans")}
             for i, t in enumerate(so_far["text"]):
                 k, runs, found = scan(t, *cache["a"])
                 if "items" in so_far:
@@ -123,7 +123,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
                 out["spans"].append([{"a": a, "b": b} for a, b in offsets(t or "", runs)])
             yield out
 
-        out = map_rows(out, run, SCHEMA)
+        out = map_rows(out, run, schema)
     return out
 
 

@@ -85,9 +85,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text (cleaned) and an array column of spans for each kind."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), clean(F.col(text)).alias("text"))
+def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (cleaned), other columns, and an array column of spans for each kind."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), clean(F.col(text)).alias("text"), *others)
     return own.select("*", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
 
@@ -122,9 +122,10 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.max(F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, text (cleaned of the marks only), email, ip, card, phone, term: arrays of (start, end, match)."""
-    rows = found(docs, doc_id, text)
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, text (cleaned of the marks only), email, ip, card, phone, term: arrays of (start, end, match),
+    removed (terms to remove rather than generalise), and the columns named in `others`, which mustn't have those names."""
+    rows = found(docs, doc_id, text, others)
     terms = stored(disclosing(rows), "terms")
     none = F.array().cast(f"array<{_SPAN}>")
     if terms.isEmpty():
@@ -136,9 +137,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return rows.withColumn("term", F.when(F.col("any").isNotNull(), marked(F.col("text"), pattern)).otherwise(none)).withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).drop("any")
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text with every span replaced: base kinds by [KIND], terms by [REMOVED] or by their shape, as x for a letter."""
-    rows = scan(docs, doc_id, text)
+def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, other columns: text with every span replaced: base kinds by [KIND], terms by [REMOVED] or by their shape, as x for a letter."""
+    rows = scan(docs, doc_id, text, others)
 
     def named(k):
         if k == "term":
@@ -156,7 +157,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     done = F.aggregate(spans, first, step)
     rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))
-    return rows.select("doc_id", F.when(F.size(spans) > 0, F.concat(done["out"], rest)).otherwise(F.col("text")).alias("text"), F.size(spans).cast("long").alias("n_spans"))
+    return rows.select("doc_id", F.when(F.size(spans) > 0, F.concat(done["out"], rest)).otherwise(F.col("text")).alias("text"), *others)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

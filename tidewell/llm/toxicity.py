@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows=None, doc_id: str = "doc_id",
 
 def measured(docs: DataFrame, model: dict, others: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*others, "text")
+    kept = docs.select(*others, F.col("text").alias("text_"))
 
     def run(batch, cache={}):  # noqa: B006  one automaton for each worker
         if "m" not in cache:
@@ -227,6 +227,11 @@ def curve(model: dict):
     return 1 / (1 + F.exp(-(F.lit(constant) + wa * F.col("a") + wb * F.col("b") + wc * F.col("c"))))
 
 
+def reject(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of `docs` (column `text`) that score below the threshold, with their columns."""
+    return measured(docs, model, docs.columns).where(curve(model) < threshold).select(*docs.columns)
+
+
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, score, weight (sum of entries)."""
     rows = measured(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, ["doc_id"])
