@@ -101,6 +101,51 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """fn(pyarrow table of one group) -> column dict, for groups of bounded size: dealt by key, sorted, read in a stream."""
+    import numpy as np
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            if not len(held):
+                continue
+            k = [held[c].to_numpy() for c in keys]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+            if len(cuts):
+                yield from ready(held.slice(0, cuts[-1]), [0, *cuts.tolist()])
+                held = held.slice(cuts[-1])
+        if held is not None and len(held):
+            yield from ready(held, [0, len(held)])
+
+    def ready(t, cuts):
+        out = {f.name: [] for f in target}
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for name, values in fn(t.slice(a, b - a)).items():
+                out[name] += values
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+class Hashes(dict):
+    """64-bit hash of each word seen, emptied when large."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def held_out(mod: int, rest: int, doc_id: str = "doc_id"):
     """True where crc32 of the id's decimal text leaves that remainder."""
     return F.coalesce((F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(mod)) == F.lit(rest), F.lit(False))

@@ -21,11 +21,10 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, words
+from .common import Hashes, by_group, map_rows, stored, words
 from .graph import components
 
 #: Words of a run; similarity of a link; bands, values of a band; values compared one by one, and at a time.
@@ -37,18 +36,6 @@ BLOCK = 512
 BROADCAST_ROWS = 1_000_000
 
 
-class Hashes(dict):
-    """64-bit hash of each word seen, emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 @cache
 def _worker() -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240501)
@@ -162,38 +149,6 @@ def verified(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, threshol
     return out
 
 
-def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
-    """fn(pyarrow table of one group) -> column dict, for groups of bounded size: dealt by key, sorted, read in a stream."""
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if not len(held):
-                continue
-            k = [held[c].to_numpy() for c in keys]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
-            if len(cuts):
-                yield from ready(held.slice(0, cuts[-1]), [0, *cuts.tolist()])
-                held = held.slice(cuts[-1])
-        if held is not None and len(held):
-            yield from ready(held, [0, len(held)])
-
-    def ready(t, cuts):
-        out = {f.name: [] for f in target}
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            for name, values in fn(t.slice(a, b - a)).items():
-                out[name] += values
-        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def in_blocks(df: DataFrame, count: str, doc: str) -> DataFrame:
     """Adds i and j: a group of `count` rows is cut into blocks of about BLOCK, and each pair of blocks meets once."""
     n = F.ceil(F.col(count) / BLOCK).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, kdtree, license_scan, packing, pii, toxicity
+from . import decontaminate, jaccard_join, kdtree, license_scan, lm, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5,
     "op6_pii": pii.op6,
     "op7_pack": packing.op7,
+    "op8_warc": warc.op8,
     "op9_license_scan": license_scan.op9,
+    "op10_lm": lm.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_kdtree": kdtree.SQL}
