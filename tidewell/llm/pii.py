@@ -3,13 +3,13 @@
 All DataFrame operations. Patterns find e-mail addresses, IP addresses, card and phone numbers with code-point offsets:
 a replacement puts marks around every match, the text is split at the marks, and the parts' lengths give the places.
 
-The method then asks which ordinary terms reveal one of those entities. Contexts are distinct texts; a term and an
-entity co-occur where the term stands within WINDOW characters of a mention. With n contexts in all,
+The method then asks which ordinary terms reveal one of those entities. A term and an entity co-occur in a document
+where the term stands within WINDOW characters of a mention. With n documents in all,
     information of an entity   ic(e) = log2(n / n(e))
     mutual information         pmi(e, t) = log2(n(e, t) * n / (n(e) * n(t)))
 and a term discloses pmi / ic of an entity: 1 if the term never occurs without it. Terms that disclose GENERALISE or
-more of any entity seen in SUPPORT contexts or more are replaced by their shape, those from REMOVE on are removed,
-wherever they occur in the corpus.
+more of an entity, seen with it in SUPPORT different texts or more, are replaced by their shape, those from REMOVE on
+are removed, wherever they occur in the corpus.
 
 Defined results: null is the empty text, without spans; overlapping spans of different kinds all stay in the report and
 are replaced together; rows are handled one by one (rows that repeat a doc_id share the terms found in any of them);
@@ -26,7 +26,7 @@ from .common import stored
 KINDS = ("email", "ip", "card", "phone")
 #: Characters on each side of a mention in which a term co-occurs with it.
 WINDOW = 64
-#: Contexts an entity, and a term with it, must be seen in.
+#: Different texts that an entity, and a term with it, must be seen in.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -104,19 +104,19 @@ def disclosing(docs: DataFrame) -> DataFrame:
         return F.transform(k, lambda s: F.struct(F.concat(F.lit(k + ":"), value(s["match"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
 
     every = F.concat(*map(entities_of, KINDS))
-    seen = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select(F.xxhash64("text").alias("context"), "text", F.explode(every).alias("m"))
+    seen = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select(F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text").alias("context"), "text", F.explode(every).alias("m"))
     left = F.substring("text", F.greatest(F.col("m.start") - WINDOW + 1, F.lit(1)).cast("int"), F.least(F.col("m.start"), F.lit(WINDOW)).cast("int"))
     left = F.when(F.col("m.start") > WINDOW, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
     right = F.regexp_replace(F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(WINDOW)), rf"(?<=^.{{{WINDOW - 30},{WINDOW}}})\S+$", "")
-    near = stored(seen.select("context", F.xxhash64("m.entity").alias("entity"), F.array_union(_terms(left), _terms(right)).alias("terms")), "mentions")
-    # Distinct contexts, two steps: rows of one text first, so that copies of a text can't fill a group.
-    entities = near.select("entity", "context").distinct().groupBy("entity").count().where(F.col("count") >= SUPPORT).withColumnRenamed("count", "n_e")
-    both = near.join(entities, "entity").select("entity", "n_e", "context", F.explode("terms").alias("term")).distinct()
-    both = stored(both.groupBy("entity", "n_e", "term").count().where(F.col("count") >= SUPPORT).withColumnRenamed("count", "n_et"), "pairs")
-    candidates = both.select("term").distinct()
-    texts = docs.select(F.xxhash64("text").alias("context"), F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term").distinct().groupBy("term").count().withColumnRenamed("count", "n_t")
-    n = docs.select(F.xxhash64("text").alias("context")).distinct().count()
-    rows = both.join(texts, "term")
+    near = stored(seen.select("doc", "context", F.xxhash64("m.entity").alias("entity"), F.array_union(_terms(left), _terms(right)).alias("terms")), "mentions")
+    counts = lambda keys: [F.count_distinct("doc").alias(keys), F.count_distinct("context").alias("contexts")]
+    entities = near.groupBy("entity").agg(*counts("n_e")).where(F.col("contexts") >= SUPPORT).drop("contexts")
+    both = near.join(entities, "entity").select("entity", "n_e", "doc", "context", F.explode("terms").alias("term"))
+    both = stored(both.groupBy("entity", "n_e", "term").agg(*counts("n_et")).where(F.col("contexts") >= SUPPORT).drop("contexts").withColumn("h", F.xxhash64("term")), "pairs")
+    # Every term of the corpus is counted, by hash, before it meets the candidates: common words never multiply in a join.
+    n_t = docs.select(F.explode(F.transform(_terms(F.col("text")), lambda w: F.xxhash64(w))).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
+    n = docs.count()
+    rows = both.join(n_t, "h")
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
     return rows.groupBy("term").agg(F.max(F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
