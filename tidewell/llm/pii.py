@@ -29,6 +29,8 @@ WINDOW = 64
 #: Different texts that an entity, and a term with it, must be seen in.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
+#: Documents with such terms up to which their list is broadcast; more are joined by shuffling the texts.
+BROADCAST_ROWS = 500_000
 
 _OPEN, _SHUT, _JOIN = "\ue000", "\ue001", "\ue002"
 # The patterns of the contract, written so that no group recurses and no start inside a run is tried twice: a match
@@ -132,7 +134,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tu
         return rows.withColumn("term", none).withColumn("removed", F.array().cast("array<string>"))
     holds = rows.select("doc_id", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term")
     holds = holds.groupBy(F.col("doc_id").alias("term_id")).agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("any"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed"))
-    rows = rows.join(holds, F.col("doc_id").eqNullSafe(F.col("term_id")), "left").drop("term_id")
+    holds = stored(holds, "holds")
+    few = holds.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(holds) if few else holds, F.col("doc_id").eqNullSafe(F.col("term_id")), "left").drop("term_id")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("any"), F.lit(r")(?!\p{L})"))
     return rows.withColumn("term", F.when(F.col("any").isNotNull(), marked(F.col("text"), pattern)).otherwise(none)).withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).drop("any")
 
