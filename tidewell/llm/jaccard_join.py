@@ -116,7 +116,10 @@ def alive(sig: np.ndarray, p: int, others: np.ndarray) -> np.ndarray:
 
 
 def joined(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join a bucket's documents to components by pairs that survive."""
+    """Links that join a bucket's documents to components by pairs that survive. Least ids come first, so that buckets
+    that share documents give the same links."""
+    order = np.argsort(ids)
+    ids, sig = ids[order], sig[order]
     label, out = np.arange(len(ids)), []
     for p in range(len(ids) - 1):
         others = np.flatnonzero(label[p + 1 :] != label[p]) + p + 1
@@ -189,6 +192,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     one = stored(one.dropDuplicates(["id"]), "sets")
 
     def block(t):
+        t = t.sort_by("id")
         ids, weight, own = t["id"].to_pylist(), t["class_size"].to_pylist(), t["own"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), COMPARED)
         links, root = [0] * len(ids), list(range(len(ids)))
