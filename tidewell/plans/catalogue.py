@@ -394,3 +394,31 @@ def _gate(s, d):
 def _ledger(s, d):
     rows = table(s, d, "events").select("user_id", F.from_json("props", "map<string,bigint>").alias("usage"))
     return rows.groupBy("user_id").agg(F.sum(F.aggregate(F.map_values("usage"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))).alias("tokens"))
+
+
+# ---------------------------------------------------------------- row functions
+
+@query("repair_line_udf", """SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE '{"id": ' || event_id || ', "kind": "' || event_type || '"}' END AS fixed FROM events""")
+def _repair(s, d):
+    """Lines damaged in four ways come back as they were; one that nothing mends is null."""
+    from ..operators.repair import mended
+
+    good = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "kind": "'), F.col("event_type"), F.lit('"}'))
+    cut = F.expr("substring(good, 1, length(good) - 1)")
+    bad = F.when(F.col("n") == 0, F.col("good")).when(F.col("n") == 1, cut).when(F.col("n") == 2, F.concat(cut, F.lit(", }"))).when(F.col("n") == 3, F.concat(F.lit("\x07"), F.col("good"))).otherwise(F.lit("not json"))
+    rows = table(s, d, "events").select("event_id", good.alias("good"), (F.col("event_id") % 5).alias("n"))
+    fixed = F.when(F.col("n") == 2, F.regexp_replace(mended(bad), r"\s+\}$", "}")).otherwise(mended(bad))
+    return rows.select("event_id", fixed.alias("fixed"))
+
+
+@query("parse_line_udf", """SELECT 'e' || event_id AS uuid, 's' || user_id AS session_id, event_type AS model, CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens, CAST(json_extract_string(props, '$.k') AS BIGINT) + 7 AS total_tokens,
+strftime(ts, '%Y-%m-%d') AS date, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS ts_epoch FROM events WHERE event_id % 6 <> 0""")
+def _parse(s, d):
+    """Rows written as transcript lines (one in six without a uuid, which doesn't count) and parsed again."""
+    from ..sources.transcripts import usage_rows
+
+    k = F.get_json_object("props", "$.k").cast("long")
+    message = F.struct(F.col("event_type").alias("model"), F.struct(k.alias("input_tokens"), F.lit(7).alias("output_tokens")).alias("usage"))
+    line = F.to_json(F.struct(F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("uuid"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sessionId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), message.alias("message")))
+    lines = table(s, d, "events").select(F.lit("events").alias("source"), F.col("event_id").alias("line_no"), line.cast("binary").alias("raw"))
+    return usage_rows(lines).where("NOT bad").select("uuid", "session_id", "model", "input_tokens", "total_tokens", "date", "ts_epoch")
