@@ -23,7 +23,7 @@ def winner_per_message(events: DataFrame) -> DataFrame:
     return events.withColumn("rn_", F.row_number().over(best)).where("rn_ = 1").drop("rn_")
 
 
-def costed(events: DataFrame, pricing: DataFrame) -> DataFrame:
+def costed(events: DataFrame, pricing: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Adds c12, the cost in 1e-12 USD: rates of the longest pattern that the model starts with, ignoring case; none, 0.
 
     Only distinct models meet the price list; both are small dimensions, and the rates come back by an equi-join that
@@ -120,7 +120,9 @@ def stats_raw(events: DataFrame) -> DataFrame:
 
 
 def reconcile(rows: DataFrame) -> DataFrame:
-    """Each view's grand total against the total of the rows: view, total_tokens, delta. By project, '' is added back."""
+    """Each view's grand total against the total of the rows: view, total_tokens, delta. By project, '' is added back.
+    The rows are kept (memory, then disk) while the views are summed."""
+    rows = rows.persist()
     grand = rows.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("long").alias("grand"))
     parts = None
     for name in VIEWS:

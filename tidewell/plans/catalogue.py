@@ -22,7 +22,6 @@ PRICES = [
     ("view", 800000, 4000000, 1000000, 1600000, 80000),
     ("CLICK", 15000000, 75000000, 18750000, 30000000, 1500000),
 ]
-UNPRICED = "(none)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +49,7 @@ def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = U.costed(winners(spark, sf_dir), spark.createDataFrame(PRICES, PRICING))
+    rows = U.costed(winners(spark, sf_dir), spark.createDataFrame(PRICES, PRICING), usage(spark, sf_dir))
     return rows.withColumn("hour_bucket", hour_bucket(F.col("ts_iso"))).withColumn("week", week_label(as_date(F.col("date")))).withColumn("block", F.floor(F.col("ts_epoch") / 18000))
 
 
