@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, kdtree, license_scan, lm, packing, pii, toxicity, warc
+from . import decontaminate, jaccard_join, kdtree, license_scan, lm, packing, pii, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_decontaminate": decontaminate.op2,
     "op3_kdtree": kdtree.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_jaccard_join": jaccard_join.op5,
     "op6_pii": pii.op6,
     "op7_pack": packing.op7,
