@@ -31,6 +31,8 @@ from .common import held_out, map_rows, stored, words
 SAMPLE = 20_000
 #: Shortest and longest start of a word that can be an entry.
 STEM = (4, 8)
+#: Log odds of an entry; and of what may become one once exceptions excuse some of its places.
+HEAVY, LEANING = 2.0, 0.7
 #: A document is rejected from this score.
 THRESHOLD = 0.3
 
@@ -91,24 +93,36 @@ class Matcher:
         self.automaton = ahocorasick.Automaton() if entries or exceptions else None
         if self.automaton is not None:
             for e, w in entries.items():
-                self.automaton.add_word(e, (len(e), w))
+                self.automaton.add_word(e, (e, w))
             for e in exceptions:
-                self.automaton.add_word(e, (len(e), None))
+                self.automaton.add_word(e, (e, None))
             self.automaton.make_automaton()
 
-    def hits(self, line: str) -> dict[int, float]:
-        """Place of the space before a hit word -> weight."""
-        found: dict[int, float] = {}
+    def found(self, line: str) -> tuple[list[tuple[int, str, float]], set[int]]:
+        """(Place of the space before a word, entry, weight) of each match, and the places inside exceptions."""
+        entries: list[tuple[int, str, float]] = []
         spared: set[int] = set()
-        if self.automaton is None:
-            return found
-        for end, (size, weight) in self.automaton.iter(line):
-            at = end - size + 1
+        for end, (text, weight) in self.automaton.iter(line) if self.automaton is not None else ():
+            at = end - len(text) + 1
             if weight is None:
                 spared.update((at, line.index(" ", at + 1)))
-            elif weight > found.get(at, 0.0):
-                found[at] = weight
-        return {k: v for k, v in found.items() if k not in spared}
+            else:
+                entries.append((at, text, weight))
+        return entries, spared
+
+    def hits(self, line: str) -> dict[int, float]:
+        """Place of the space before a hit word -> weight of its heaviest entry."""
+        entries, spared = self.found(line)
+        out: dict[int, float] = {}
+        for at, _, weight in entries:
+            if at not in spared and weight > out.get(at, 0.0):
+                out[at] = weight
+        return out
+
+    def entries(self, line: str) -> set[str]:
+        """Entries that match outside exceptions."""
+        entries, spared = self.found(line)
+        return {e for at, e, _ in entries if at not in spared}
 
     def measures(self, text: str | None) -> tuple[float, float, float]:
         """Heaviest entry, sum of weights, sum over length; the latter two as logarithms."""
@@ -186,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows=None, doc_id: str = "doc_id",
     # Bounded: a feature in one of 400 toxic documents or more; there are at most 400 times as many as in one document.
     wanted = frozenset(r["f"] for r in _count(first.where("toxic"), None, seen).where(F.col("tox") >= least).select("f").toLocalIterator())
     weight = lambda a, b: math.log((a + 0.5) / (n_tox + 1)) - math.log((b + 0.5) / (n_clean + 1))
-    entries = {r["f"]: w for r in _count(first, wanted, seen).toLocalIterator() if r["tox"] >= least and (w := weight(r["tox"], r["clean"])) >= 2.0}
+    entries = {r["f"]: w for r in _count(first, wanted, seen).toLocalIterator() if r["tox"] >= least and (w := weight(r["tox"], r["clean"])) >= LEANING}
     matcher = Matcher(entries)
 
     def around(t):
@@ -196,7 +210,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows=None, doc_id: str = "doc_id",
         return pairs(w, {at[p] for p in matcher.hits(line)})
 
     exceptions = [r["f"] for r in _count(first, None, around).where((F.col("clean") >= 3) & (F.col("clean") * n_tox >= 2 * F.col("tox") * n_clean)).select("f").toLocalIterator()] if entries else []
-    model = {"entries": entries, "exceptions": exceptions}
+    if exceptions:  # weights without what the exceptions excuse
+        sparing = Matcher(entries, exceptions)
+        entries = {r["f"]: weight(r["tox"], r["clean"]) for r in _count(first, None, lambda t: sparing.entries(f" {' '.join(fold(t))} ")).toLocalIterator() if r["tox"] >= least}
+    model = {"entries": {e: w for e, w in entries.items() if w >= HEAVY}, "exceptions": exceptions}
     fit = measured(sample.where("fold = 0"), model, ["toxic"]).select("toxic", "a", "b", "c").toPandas()  # bounded by SAMPLE
     if fit.empty or fit.toxic.nunique() < 2:
         return model | {"curve": None, "only": float(n_tox > 0)}
