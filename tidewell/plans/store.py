@@ -8,11 +8,6 @@ nothing. A sync reads changed sources only and recomputes only the messages and
 
 from __future__ import annotations
 
-import json
-import os
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +16,7 @@ from ..functions.schemas import PRICING, USAGE_EVENTS
 from ..operators import usage as U
 from ..operators.lines import unchanged
 from ..sources import sinks, transcripts
+from .tables import VersionedTables
 
 TABLES = ("events", "dedup", "rollup", "manifest", "pricing")
 EXPORTS = ("daily", "monthly", "by_model", "daily_by_model", "by_session", "by_project", "hourly_ts", "hourly_ts_by_model", "weekly", "weekly_by_model", "monthly_by_model", "sessions_timeline", "blocks_5h")
@@ -31,36 +27,14 @@ class NotReadOnly(ValueError):
     pass
 
 
-class UsageStore:
+class UsageStore(VersionedTables):
     def __init__(self, spark: SparkSession, folder: str, archive: str, live: str, prices: list[tuple] | None = None):
-        self.spark, self.folder, self.archive, self.live, self.prices = spark, folder.rstrip("/"), archive, live, prices or []
-
-    # ---- versions
-
-    def version(self) -> str | None:
-        try:
-            with open(f"{self.folder}/current") as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return None
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.version()}/{name}")
+        super().__init__(spark, folder)
+        self.archive, self.live, self.prices = archive, live, prices or []
 
     def _commit(self, tables: dict[str, DataFrame]) -> str:
-        version = f"v{time.time_ns()}-{uuid.uuid4().hex[:6]}"
-        for name in TABLES:
-            df = tables[name]
-            columns = USAGE_EVENTS.names if name in ("events", "dedup") else sorted(df.columns) if name == "rollup" else df.columns
-            df.select(*columns).write.parquet(f"{self.folder}/{version}/{name}")
-        os.makedirs(self.folder, exist_ok=True)
-        held = f"{self.folder}/.current-{uuid.uuid4().hex}"
-        with open(held, "w") as f:
-            json.dump({"version": version, "schema": 2}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(held, f"{self.folder}/current")
-        return version
+        columns = lambda n, df: USAGE_EVENTS.names if n in ("events", "dedup") else sorted(df.columns) if n == "rollup" else df.columns
+        return self.commit({n: tables[n].select(*columns(n, tables[n])) for n in TABLES})
 
     # ---- ingest
 
@@ -95,11 +69,17 @@ class UsageStore:
         dedup = U.winner_per_message(events)
         return {"events": events, "dedup": dedup, "rollup": U.view("usage_rollup", dedup), "manifest": listing.select("source", "size", "mtime"), "pricing": self._pricing()}
 
-    def sync(self) -> str | None:
+    def sync_session(self, session: str) -> str | None:
+        """One session's files (`folder/session`), with the same rules as a sync."""
+        return self.sync(prefix=session)
+
+    def sync(self, prefix: str | None = None) -> str | None:
         """Files of which a copy changed, alone; all copies of those, so that the copy that wins is the same as in a build."""
         if not self.version():
             return self.build()
         listing = self._listing()
+        if prefix:
+            listing = listing.where((F.col("rel") == f"{prefix}.jsonl") | F.col("rel").startswith(f"{prefix}/subagents/"))
         named = lambda df: df.select(F.col("source").alias("rel"), "size", "mtime")
         changed = unchanged(named(listing), named(self.table("manifest"))).select(F.col("rel").alias("source"))
         if changed.isEmpty():
@@ -116,7 +96,12 @@ class UsageStore:
         kept = dedup.join(dirty, key, "left_anti").unionByName(won)
         sessions = dirty.select("session_id").distinct()
         sums = rollup.join(sessions, "session_id", "left_anti").unionByName(U.view("usage_rollup", kept.join(sessions, "session_id", "left_semi")))
-        return self._commit({"events": merged, "dedup": kept, "rollup": sums, "manifest": listing.select("source", "size", "mtime"), "pricing": self.table("pricing")})
+        return self._commit({"events": merged, "dedup": kept, "rollup": sums, "manifest": self._manifest(listing), "pricing": self.table("pricing")})
+
+    def _manifest(self, listing: DataFrame) -> DataFrame:
+        """The listing's state, and the earlier state of sources that it doesn't hold."""
+        new = listing.select("source", "size", "mtime")
+        return self.table("manifest").join(new.select("source"), "source", "left_anti").select("source", "size", "mtime").unionByName(new)
 
     def set_pricing(self, rows: list[tuple]) -> str:
         tables = {n: self.table(n) for n in TABLES}
