@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, kdtree, license_scan, lm, packing, pii, suffix_dedup, toxicity, warc
+from . import decontaminate, jaccard_join, kdtree, license_scan, lm, packing, pii, sql, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_lm": lm.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_kdtree": kdtree.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": sql.OP2,
+    "op3_kdtree": kdtree.SQL,
+    "op4_suffix_dedup": sql.OP4,
+    "op5_jaccard_join": sql.OP5,
+}
