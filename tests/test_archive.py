@@ -1,9 +1,12 @@
 """Archive, repair sweep and prompt history over files."""
 
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import lines as L
 from tidewell.plans.archive import Archive, History, Repairs
 from tidewell.sources import transcripts as T
 
@@ -60,6 +63,11 @@ def test_history(spark, tmp_path):
     assert h.merge(str(tmp_path / "live"), 5) == "ok" and h.merge(str(tmp_path / "live"), 5) == "noop"
     got = h.find("NEEDLE").first()
     assert (got.session, got.project, got.first, got.last, got.n_matches) == ("s", "proj", "2024-05-01 10:00", "2024-05-02 10:00", 1)
+    assert h.merge(str(tmp_path / "live"), int(time.time() * 1000), throttle_seconds=300) == "throttled"
+    (tmp_path / "h/.writer").touch()
+    assert h.merge(str(tmp_path / "live"), 5) == "busy"
+    os.utime(tmp_path / "h/.writer", (1, 1))  # left behind long ago
+    assert h.merge(str(tmp_path / "live"), 5) == "noop"
     assert h.find("needle", since="2024-05-03").count() == 0 and h.find("", project="PRO").count() == 1
 
 
@@ -70,3 +78,10 @@ def test_listing(spark, tmp_path):
     assert names(prefix="p/s") == {"p/s.jsonl", "p/s/subagents/agent-1.jsonl", "p/s/subagents/workflows/w/agent-2.jsonl"}
     assert names(top_only=True) == {"p/s.jsonl", "p/other.jsonl"} and len(names(skip=None)) == 5
     assert T.listing(spark, str(tmp_path)).where(F.col("size") != 3).count() == 0
+
+
+def test_ledger_and_resume(spark):
+    rows = spark.createDataFrame([("s", "a", 1), ("s", "a", 1), ("s", "b", 2)], "session string, uuid string, tokens long")
+    assert [r.uuid for r in L.append_ledger(rows.where("uuid = 'a'"), rows).collect()] == ["b"]
+    ends = spark.createDataFrame([("Resume", None), ("", "resume"), ("exit", "resume"), (None, None)], "reason string, end_reason string")
+    assert [r.reason for r in L.cleanable(ends).collect()] == ["exit", None]

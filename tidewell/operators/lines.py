@@ -68,6 +68,17 @@ def append_removed(log: DataFrame, records: DataFrame) -> DataFrame:
     return first_of(records, ["source_file", "content"], "source_line").join(log.select("source_file", "content"), ["source_file", "content"], "left_anti")
 
 
+def append_ledger(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """Usage rows that the ledger lacks, one for each (session, uuid)."""
+    return rows.dropDuplicates(["session", "uuid"]).join(ledger.select("session", "uuid"), ["session", "uuid"], "left_anti")
+
+
+def cleanable(events: DataFrame) -> DataFrame:
+    """Session-end events after which a repair may run: all but those of a session that is being resumed.
+    events: reason, end_reason, ..."""
+    return events.where(F.lower(F.coalesce(F.nullif("reason", F.lit("")), F.col("end_reason"), F.lit(""))) != "resume")
+
+
 def manifest_diff(source: DataFrame, deployed: DataFrame) -> DataFrame:
     """name -> new, same or differs. Both: name, sha256."""
     rows = source.join(deployed.select("name", F.col("sha256").alias("there")), "name", "left")

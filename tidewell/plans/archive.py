@@ -13,7 +13,7 @@ from ..operators import lines as L
 from ..operators import prompts as P
 from ..operators import repair as R
 from ..sources import transcripts
-from .tables import VersionedTables
+from .tables import Busy, VersionedTables, single_writer
 
 LINES = "rel string, line_no long, raw binary, key string"
 FILES = "rel string, size long, mtime long"
@@ -35,6 +35,7 @@ class Archive(VersionedTables):
         rows = transcripts.raw_lines(self.spark, self.live, files if files is not None else transcripts.listing(self.spark, self.live))
         return transcripts.keyed(rows.where("ended")).select("rel", "line_no", "raw", "key")
 
+    @single_writer
     def sync(self) -> str:
         """ok, or skipped when no file changed since the last sync."""
         listing = transcripts.listing(self.spark, self.live)
@@ -93,6 +94,7 @@ class Repairs(VersionedTables):
             rows = rows.where(~owner_session(F.col("rel")).isin(list(running)))
         return rows if force else rows.where(F.col("mtime") <= int((now - self.quiet) * 1_000_000))
 
+    @single_writer
     def sweep(self, now: float | None = None, running: list[str] = (), force: bool = False) -> DataFrame:
         """Commits the log, and the new lines of the files as table `lines`; returns statistics by file."""
         now = time.time() if now is None else now
@@ -122,9 +124,19 @@ class History(VersionedTables):
     def known(self) -> DataFrame:
         return self.table_or("prompts", PROMPTS)
 
-    def merge(self, live: str, now_ms: int, since: int | None = None) -> str:
+    def merge(self, live: str, now_ms: int, since: int | None = None, throttle_seconds: int = 0) -> str:
         """Add the prompts of a live tree's files, of those changed since (microseconds, less ten minutes) if given.
-        ok, or noop when nothing is new."""
+        ok; noop when nothing is new; throttled when the last merge is more recent than that; busy when another writes."""
+        newest = self.versions()[-1:]
+        if throttle_seconds and newest and now_ms - int(newest[0][1:].split("-")[0]) // 1_000_000 < throttle_seconds * 1000:
+            return "throttled"
+        try:
+            return self._merge(live, now_ms, since)
+        except Busy:
+            return "busy"
+
+    @single_writer
+    def _merge(self, live: str, now_ms: int, since: int | None) -> str:
         files = transcripts.listing(self.spark, live)
         files = files if since is None else files.where(F.col("mtime") >= since - 600_000_000)
         found = transcripts.prompt_rows(transcripts.raw_lines(self.spark, live, files), now_ms)

@@ -16,7 +16,7 @@ from ..functions.schemas import PRICING, USAGE_EVENTS
 from ..operators import usage as U
 from ..operators.lines import unchanged
 from ..sources import sinks, transcripts
-from .tables import VersionedTables
+from .tables import VersionedTables, single_writer
 
 TABLES = ("events", "dedup", "rollup", "manifest", "pricing")
 EXPORTS = ("daily", "monthly", "by_model", "daily_by_model", "by_session", "by_project", "hourly_ts", "hourly_ts_by_model", "weekly", "weekly_by_model", "monthly_by_model", "sessions_timeline", "blocks_5h")
@@ -56,6 +56,7 @@ class UsageStore(VersionedTables):
     def _pricing(self) -> DataFrame:
         return self.table("pricing") if self.version() else self.spark.createDataFrame(self.prices, PRICING)
 
+    @single_writer
     def build(self) -> str:
         """Everything anew from the sources; rows of sources that are gone stay, as does an edited price list."""
         listing = self._listing()
@@ -75,8 +76,10 @@ class UsageStore(VersionedTables):
 
     def sync(self, prefix: str | None = None) -> str | None:
         """Files of which a copy changed, alone; all copies of those, so that the copy that wins is the same as in a build."""
-        if not self.version():
-            return self.build()
+        return self._sync(prefix) if self.version() else self.build()
+
+    @single_writer
+    def _sync(self, prefix: str | None) -> str | None:
         listing = self._listing()
         if prefix:
             listing = listing.where((F.col("rel") == f"{prefix}.jsonl") | F.col("rel").startswith(f"{prefix}/subagents/"))
@@ -103,6 +106,7 @@ class UsageStore(VersionedTables):
         new = listing.select("source", "size", "mtime")
         return self.table("manifest").join(new.select("source"), "source", "left_anti").select("source", "size", "mtime").unionByName(new)
 
+    @single_writer
     def set_pricing(self, rows: list[tuple]) -> str:
         tables = {n: self.table(n) for n in TABLES}
         return self._commit(tables | {"pricing": self.spark.createDataFrame(rows, PRICING)})

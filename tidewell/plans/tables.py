@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import time
@@ -10,6 +11,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Busy(RuntimeError):
+    """Another writer holds the folder."""
+
+
+#: Seconds after which a writer's lock counts as left behind.
+STALE = 600
+
+
+def single_writer(method):
+    """A read-modify-write of the tables, by one driver at a time."""
+
+    @functools.wraps(method)
+    def run(self, *args, **kwargs):
+        lock = f"{self.folder}/.writer"
+        os.makedirs(self.folder, exist_ok=True)
+        if os.path.exists(lock) and time.time() - os.path.getmtime(lock) > STALE:
+            os.replace(lock, f"{lock}-stale-{uuid.uuid4().hex}")
+        try:
+            os.close(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            raise Busy(self.folder) from None
+        try:
+            return method(self, *args, **kwargs)
+        finally:
+            os.unlink(lock)
+
+    return run
+
+
 class VersionedTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")

@@ -11,9 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import usage as U
 
-ORDER = ("total_tokens", "ts_epoch")
-
-
 def running_winners(events: DataFrame) -> DataFrame:
     """Complete-mode aggregate that equals `winner_per_message` where uuid is a number: the greatest
     (tokens, time, least uuid) of each message."""
@@ -27,9 +24,9 @@ def blocks(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("ts", "5 hours").alias("w")).agg(F.count("*").alias("events"), F.sum("total_tokens").alias("total_tokens")).select(F.col("w.start").alias("start"), "events", "total_tokens")
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, batch_files: int | None = None) -> StreamingQuery:
+def upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep `path` as the last write of each uuid: foreachBatch merges a batch into a new version of the table. A batch
-    that runs again after a failure gives the same table."""
+    that runs again after a failure gives the same table. Batches are bounded by the reader's maxFilesPerTrigger."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
