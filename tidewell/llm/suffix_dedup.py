@@ -8,7 +8,7 @@ be suffix-sorted is first cut down, without losing a match:
    holds as well is covered as a whole; its copies need no sorting. The smallest document with a string holds it in a
    piece of its own, so the pieces that are left still hold every match.
 2. In the pieces that are left, each string of LENGTH bytes has an anchor: the GRAM bytes in it whose hash is least.
-   Equal strings have equal anchors, so only strings whose anchor occurs in two documents can match.
+   Equal strings have equal anchors, so only strings whose anchor two documents have in such pieces can match.
 3. Strings around such anchors are dealt to shards by anchor. A shard sorts all suffixes of its strings; neighbours that
    share LENGTH bytes or more are one string, and all its documents but the smallest are covered there.
 
@@ -43,6 +43,8 @@ LENGTH, GRAM, PIECE, CUT = 50, 20, 256, 16
 QUEUE = 8_000_000
 #: Characters of input for one shard: shards grow in number with the input.
 SHARD_CHARS = 16_000_000
+#: Shards of strings for each shard of anchors; documents whose strings a task holds before it sends them on.
+SPLIT, SLICE = 4, 1_000
 #: Covered runs up to which they're broadcast to the texts; more are joined by shuffling.
 BROADCAST_RUNS = 1_000_000
 
@@ -347,23 +349,30 @@ def cut_pieces(docs: DataFrame) -> DataFrame:
     return map_rows(docs, run, "row long, doc long, start int, end int, k1 long, k2 long")
 
 
+def open_starts(raw: bytes, runs) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor of each start, and whether the start lies outside the covered runs."""
+    h = anchors(np.frombuffer(raw, np.uint8))
+    left = np.ones(len(h), bool)
+    for r in runs or ():
+        left[r["a"] : r["b"]] = False
+    return h, left
+
+
 def repeated_anchors(docs: DataFrame, shards: int) -> str:
-    """Folder of sorted arrays, one for each shard of the hash range: anchors that two documents or more have.
+    """Folder of sorted arrays, one for each shard of the hash range: anchors that two documents or more have in the
+    pieces that are left. docs: row, doc, text, runs (pieces that are covered).
 
-    A task packs each anchor of a batch once, with one document and whether the batch has another; copies of a text
-    within a batch count once (their pieces settle them). So an anchor of any number of documents is few rows."""
+    A task packs each anchor of a batch once, with one document and whether the batch has another, so that an anchor of
+    any number of documents is few rows."""
     from .lm import _save
 
     def pack(batch):
-        hashes, owners, seen = [], [], set()
-        for doc, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = utf8(text)
-            digest = hashlib.blake2b(raw, digest_size=16).digest()
-            if len(raw) < LENGTH or digest in seen:
-                continue
-            seen.add(digest)
-            hashes.append(np.unique(anchors(np.frombuffer(raw, np.uint8))))
-            owners.append(np.full(len(hashes[-1]), doc, np.int64))
+        hashes, owners = [], []
+        for _, doc, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            h, left = open_starts(utf8(text), runs)
+            if left.any():
+                hashes.append(np.unique(h[left]))
+                owners.append(np.full(len(hashes[-1]), doc, np.int64))
         out = {"shard": [], "blob": []}
         if hashes:
             h, d = np.concatenate(hashes), np.concatenate(owners)
@@ -403,21 +412,20 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
     """Strings around repeated anchors in the pieces that are left. docs: row, doc, text, runs (pieces that are covered).
 
-    Returns kind, row, doc, start, end, shard, anchor, text. Of equal strings in a batch only the smallest document's go
+    Returns kind, row, doc, start, end, shard, anchor, text. Of equal strings in a slice of a batch only the smallest document's go
     on (kind 1); those of the others are covered already (kind 0: starts from start to end)."""
     from .lm import _store
 
     def run(batch):
+        for a in range(0, batch.num_rows, SLICE):
+            yield from part(batch.slice(a, SLICE))
+
+    def part(batch):
         out = {k: [] for k in ("kind", "row", "doc", "start", "end", "shard", "anchor", "text")}
         store, found = _store(folder), {}
         for row, doc, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = utf8(text)
-            h = anchors(np.frombuffer(raw, np.uint8))
-            if not len(h):
-                continue
-            left = np.ones(len(h), bool)
-            for r in runs or ():
-                left[r["a"] : r["b"]] = False
+            h, left = open_starts(raw, runs)
             distinct, inverse = np.unique(h[left], return_inverse=True)
             if not len(distinct):
                 continue
@@ -438,7 +446,7 @@ def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
             least = min(p[0] for p in places)
             for doc, row, a, b in places:
                 first = doc == least
-                shard = (anchor >> 32) * shards >> 32
+                shard = (anchor >> 32) * (SPLIT * shards) >> 32
                 for k, v in zip(out, (int(first), row, doc, a, b, shard if first else None, anchor - (1 << 64) if anchor >= 1 << 63 else anchor, string if first else None), strict=True):
                     out[k].append(v)
         yield out
@@ -489,8 +497,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = cut.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "least")
     whole_pieces = cut.join(more, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2"))).where("least < doc")
     settled = stored(whole_pieces.select("row", "start", "end"), "pieces")
-    folder = repeated_anchors(able, shards)
-    rest = stored(candidates(_with_runs(able, settled).select("row", "doc", "text", "runs"), folder, shards), "strings")
+    rest = _with_runs(able, settled).select("row", "doc", "text", "runs")
+    rest = stored(candidates(rest, repeated_anchors(rest, shards), shards), "strings")
     sorted_ = by_group(rest.where("kind = 1").select("shard", "anchor", "row", "doc", "start", "text"), ["shard"], sort_shard, "row long, start int, end int")
     runs = stored(settled.unionByName(rest.where("kind = 0").select("row", "start", "end")).unionByName(sorted_), "runs")
 
