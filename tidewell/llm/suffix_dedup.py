@@ -426,21 +426,21 @@ def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
         for row, doc, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = utf8(text)
             h, left = open_starts(raw, runs)
-            distinct, inverse = np.unique(h[left], return_inverse=True)
-            if not len(distinct):
+            at = np.flatnonzero(left)
+            if not len(at):
                 continue
-            hit = np.zeros(len(distinct), bool)
-            cuts = np.searchsorted(shard_of(distinct, shards), np.arange(shards + 1))
+            # Runs of starts with one anchor.
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (h[at[1:]] != h[at[:-1]])]))
+            first, last = at[new], at[np.append(new[1:], len(at)) - 1] + 1
+            mine, hit = h[first], np.zeros(len(first), bool)
+            order = np.argsort(mine)
+            cuts = np.searchsorted(shard_of(mine[order], shards), np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cuts)):
                 held = store.get(f"{s}-anchors")
                 if held is not None and len(held):
-                    part = distinct[cuts[s] : cuts[s + 1]]
-                    hit[cuts[s] : cuts[s + 1]] = held[np.minimum(np.searchsorted(held, part), len(held) - 1)] == part
-            at = np.flatnonzero(left)[hit[inverse]]
-            if not len(at):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (h[at[1:]] != h[at[:-1]])]))
-            for a, b in zip(at[new].tolist(), [*(at[new[1:] - 1] + 1).tolist(), int(at[-1]) + 1], strict=True):
+                    some = order[cuts[s] : cuts[s + 1]]
+                    hit[some] = held[np.minimum(np.searchsorted(held, mine[some]), len(held) - 1)] == mine[some]
+            for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True):
                 found.setdefault((int(h[a]), raw[a : b + LENGTH - 1]), []).append((doc, row, a, b))
         for (anchor, string), places in found.items():
             least = min(p[0] for p in places)
@@ -455,23 +455,33 @@ def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
 
 
 def sort_shard(t) -> dict:
-    """Covered starts of one shard's strings: row, start, end."""
-    anchor, doc = t["anchor"].to_numpy(), t["doc"].to_numpy()
-    order = np.argsort(anchor, kind="stable")
-    new = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
-    alone = np.minimum.reduceat(doc[order], new) == np.maximum.reduceat(doc[order], new)
-    keep = order[~np.repeat(alone, np.diff(np.append(new, len(order))))]
-    out = {"row": [], "start": [], "end": []}
-    if len(keep):
-        rows, starts = t["row"].to_numpy()[keep], t["start"].to_numpy()[keep]
-        hits = covered_starts([t["text"][int(i)].as_py() for i in keep], doc[keep], LENGTH)
-        for row, start, hit in zip(rows.tolist(), starts.tolist(), hits, strict=True):
-            if len(hit):
-                cuts = np.flatnonzero(np.diff(hit) != 1) + 1
-                for run in np.split(hit, cuts):
-                    out["row"].append(row)
-                    out["start"].append(start + int(run[0]))
-                    out["end"].append(start + int(run[-1]) + 1)
+    """Covered starts of one shard's strings: row, start, end. Equal strings of several documents are settled by lookup;
+    the smallest document's goes into the suffix array, if another document has a string with its anchor there."""
+    anchor, doc, row, start = (t[c].to_pylist() for c in ("anchor", "doc", "row", "start"))
+    text = t["text"].to_pylist()
+    least: dict[tuple[int, bytes], int] = {}
+    for k, d in zip(zip(anchor, text, strict=True), doc, strict=True):
+        if d < least.get(k, 1 << 63):
+            least[k] = d
+    out, keep = {"row": [], "start": [], "end": []}, []
+
+    def put(r, a, b):
+        out["row"].append(r)
+        out["start"].append(a)
+        out["end"].append(b)
+
+    owners: dict[int, set[int]] = {}
+    for i, (h, x, d) in enumerate(zip(anchor, text, doc, strict=True)):
+        if d > least[h, x]:
+            put(row[i], start[i], start[i] + len(x) - LENGTH + 1)
+        else:
+            keep.append(i)
+            owners.setdefault(h, set()).add(d)
+    keep = [i for i in keep if len(owners[anchor[i]]) > 1]
+    if keep:
+        for i, hit in zip(keep, covered_starts([text[i] for i in keep], np.array([doc[i] for i in keep]), LENGTH), strict=True):
+            for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1) if len(hit) else ():
+                put(row[i], start[i] + int(run[0]), start[i] + int(run[-1]) + 1)
     return out
 
 
