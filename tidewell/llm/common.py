@@ -90,15 +90,15 @@ def own(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
-def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with a function from one RecordBatch to any number of column dicts."""
+def map_rows(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow with a function from one RecordBatch, of `rows` rows at most, to any number of column dicts."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(a, rows) for whole in batches for a in range(0, whole.num_rows, rows)):
             for columns in fn(batch):
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in target], schema=target)
 
@@ -144,7 +144,7 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

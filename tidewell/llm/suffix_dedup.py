@@ -401,7 +401,7 @@ def repeated_anchors(docs: DataFrame, shards: int) -> str:
         _save(folder, str(shard), anchors=h[new][again])
         return {"shard": [shard], "anchors": [int(again.sum())]}
 
-    by_group(map_rows(docs, pack, "shard long, blob binary"), ["shard"], add, "shard long, anchors long").agg(F.sum("anchors")).collect()
+    by_group(map_rows(docs, pack, "shard long, blob binary", rows=10_000), ["shard"], add, "shard long, anchors long").agg(F.sum("anchors")).collect()
     return folder
 
 
@@ -417,10 +417,6 @@ def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
     from .lm import _store
 
     def run(batch):
-        for a in range(0, batch.num_rows, SLICE):
-            yield from part(batch.slice(a, SLICE))
-
-    def part(batch):
         out = {k: [] for k in ("kind", "row", "doc", "start", "end", "shard", "anchor", "text")}
         store, found = _store(folder), {}
         for row, doc, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -451,7 +447,7 @@ def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
                     out[k].append(v)
         yield out
 
-    return map_rows(docs, run, "kind int, row long, doc long, start int, end int, shard long, anchor long, text binary")
+    return map_rows(docs, run, "kind int, row long, doc long, start int, end int, shard long, anchor long, text binary", rows=SLICE)
 
 
 def sort_shard(t) -> dict:

@@ -158,7 +158,7 @@ def _count(df: DataFrame, keep: frozenset | None, of) -> DataFrame:
         names = list(tox | clean)
         yield {"f": names, "tox": [tox[n] for n in names], "clean": [clean[n] for n in names]}
 
-    return map_rows(df.select("text", "toxic"), run, "f string, tox long, clean long").groupBy("f").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
+    return map_rows(df.select("text", "toxic"), run, "f string, tox long, clean long", rows=10_000).groupBy("f").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
 
 
 def _sketch(text: str | None) -> int:
