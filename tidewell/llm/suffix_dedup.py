@@ -42,9 +42,9 @@ LENGTH, GRAM, PIECE, CUT = 50, 20, 256, 16
 #: Entries that the sorter's queues hold in memory.
 QUEUE = 8_000_000
 #: Characters of input for one shard: shards grow in number with the input.
-SHARD_CHARS = 16_000_000
+SHARD_CHARS = 8_000_000
 #: Shards of strings for each shard of anchors; documents whose strings a task holds before it sends them on.
-SPLIT, SLICE = 4, 1_000
+SPLIT, SLICE = 2, 1_000
 #: Covered runs up to which they're broadcast to the texts; more are joined by shuffling.
 BROADCAST_RUNS = 1_000_000
 
@@ -401,7 +401,7 @@ def repeated_anchors(docs: DataFrame, shards: int) -> str:
         _save(folder, str(shard), anchors=h[new][again])
         return {"shard": [shard], "anchors": [int(again.sum())]}
 
-    by_group(map_rows(docs, pack, "shard long, blob binary", rows=10_000), ["shard"], add, "shard long, anchors long").agg(F.sum("anchors")).collect()
+    by_group(map_rows(docs, pack, "shard long, blob binary", rows=2_500), ["shard"], add, "shard long, anchors long").agg(F.sum("anchors")).collect()
     return folder
 
 
