@@ -44,7 +44,7 @@ QUEUE = 8_000_000
 #: Characters of input for one shard: shards grow in number with the input.
 SHARD_CHARS = 8_000_000
 #: Shards of strings for each shard of anchors; documents whose strings a task holds before it sends them on.
-SPLIT, SLICE = 2, 1_000
+SPLIT, SLICE = 8, 1_000
 #: Covered runs up to which they're broadcast to the texts; more are joined by shuffling.
 BROADCAST_RUNS = 1_000_000
 
