@@ -145,6 +145,13 @@ def test_pii_terms_and_text(docs):
     assert out[0] == "The xxxxxxxx office, [EMAIL] [REMOVED] 0" and out[200] == "xxxxxxxx!" and out[100] == "The office of text 0 is plain"
 
 
+def test_pii_terms_of_a_unique_entity(docs):
+    """An entity that stands in one text only is estimated as well, and the more is known of it, the surer."""
+    data = [(i, f"the plain office of text {'abcdefghij'[i % 10] * 4}") for i in range(400)] + [(500, "the plain office, mrs quixley, eve@corp.example of text"), (501, "Quixley is plain")]
+    out = {r.doc_id: r.text for r in pii.sanitise(docs(data)).collect()}
+    assert out[500] == "the plain office, [REMOVED] xxxxxxx, [EMAIL] of text" and out[501] == "xxxxxxx is plain" and out[0] == data[0][1]
+
+
 def test_pii_odd(odd, none):
     assert pii.sanitise(odd).count() == len(ODD) and pii.scan(none).count() == 0
 

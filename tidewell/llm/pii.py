@@ -6,10 +6,13 @@ a replacement puts marks around every match, the text is split at the marks, and
 The method then asks which ordinary terms reveal one of those entities. A term and an entity co-occur in a document
 where the term stands within WINDOW characters of a mention. With n documents in all,
     information of an entity   ic(e) = log2(n / n(e))
-    mutual information         pmi(e, t) = log2(n(e, t) * n / (n(e) * n(t)))
-and a term discloses pmi / ic of an entity: 1 if the term never occurs without it. Terms that disclose GENERALISE or
-more of an entity, seen with it in SUPPORT different texts or more, are replaced by their shape, those from REMOVE on
-are removed, wherever they occur in the corpus.
+    share of the term          p(e | t) = (n(e, t) + 1/2) / (n(t) + 1)
+    mutual information         pmi(e, t) = log2(p(e | t) * n / n(e))
+and a term discloses pmi / ic of an entity. Every entity and every term beside it is estimated, also where both stand in
+one document only, as most personal data does. The share is smoothed (Jeffreys' prior) instead of n(e, t) / n(t), so that
+a term discloses the more of an entity, the more often it is seen with it and never without. Terms that disclose
+GENERALISE or more of an entity are replaced by their shape, those from REMOVE on are removed, wherever they occur in the
+corpus.
 
 Defined results: null is the empty text, without spans; overlapping spans of different kinds all stay in the report and
 are replaced together; rows are handled one by one (rows that repeat a doc_id share the terms found in any of them);
@@ -20,17 +23,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from .common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters on each side of a mention in which a term co-occurs with it.
 WINDOW = 64
-#: Different texts that an entity, and a term with it, must be seen in.
-SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 #: Documents with such terms up to which their list is broadcast; more are joined by shuffling the texts.
 BROADCAST_ROWS = 500_000
+#: Bits of the Bloom filter of the terms that keep most other words out of a shuffle: for a term, and at most.
+FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 26
 
 _OPEN, _SHUT, _JOIN = "\ue000", "\ue001", "\ue002"
 # The patterns of the contract, written so that no group recurses and no start inside a run is tried twice: a match
@@ -100,28 +104,38 @@ def _terms(context: Column) -> Column:
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
-    """Terms that disclose an entity: term, disclosure. docs: as `found` returns them."""
+    """Terms that disclose an entity: h (hash of the term), term, disclosure. docs: as `found` returns them."""
     def entities_of(k):
         value = lambda m: F.lower(F.regexp_replace(m, f"[ ().{_JOIN}-]", "") if k in ("card", "phone") else m)
         return F.transform(k, lambda s: F.struct(F.concat(F.lit(k + ":"), value(s["match"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
 
     every = F.concat(*map(entities_of, KINDS))
-    seen = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select(F.xxhash64("doc_id", "text").alias("doc"), F.xxhash64("text").alias("context"), "text", F.explode(every).alias("m"))
+    seen = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select(F.xxhash64("doc_id", "text").alias("doc"), "text", F.explode(every).alias("m"))
     left = F.substring("text", F.greatest(F.col("m.start") - WINDOW + 1, F.lit(1)).cast("int"), F.least(F.col("m.start"), F.lit(WINDOW)).cast("int"))
     left = F.when(F.col("m.start") > WINDOW, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
     right = F.regexp_replace(F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(WINDOW)), rf"(?<=^.{{{WINDOW - 30},{WINDOW}}})\S+$", "")
-    near = stored(seen.select("doc", "context", F.xxhash64("m.entity").alias("entity"), F.array_union(_terms(left), _terms(right)).alias("terms")), "mentions")
-    counts = lambda keys: [F.count_distinct("doc").alias(keys), F.count_distinct("context").alias("contexts")]
-    entities = near.groupBy("entity").agg(*counts("n_e")).where(F.col("contexts") >= SUPPORT).drop("contexts")
-    both = near.join(entities, "entity").select("entity", "n_e", "doc", "context", F.explode("terms").alias("term"))
-    both = stored(both.groupBy("entity", "n_e", "term").agg(*counts("n_et")).where(F.col("contexts") >= SUPPORT).drop("contexts").withColumn("h", F.xxhash64("term")), "pairs")
+    near = stored(seen.select("doc", F.xxhash64("m.entity").alias("entity"), F.array_union(_terms(left), _terms(right)).alias("terms")), "mentions")
+    entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
+    # Pairs are counted before they meet their entity's count: an entity in many documents has one row for each term.
+    both = near.select("entity", "doc", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("doc").alias("n_et"))
+    both = stored(both.join(entities, "entity").withColumn("h", F.xxhash64("term")), "pairs")
     # Every term of the corpus is counted, by hash, before it meets the candidates: common words never multiply in a join.
     n_t = docs.select(F.explode(F.transform(_terms(F.col("text")), lambda w: F.xxhash64(w))).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
     n = docs.count()
     rows = both.join(n_t, "h")
-    pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
+    pmi = F.log2((F.col("n_et") + 0.5) / (F.col("n_t") + 1) * F.lit(float(n)) / F.col("n_e"))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    return rows.groupBy("term").agg(F.max(F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return rows.groupBy("h", "term").agg(F.max(F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+
+
+def among(h: Column, keys: DataFrame) -> Column:
+    """False for most hashes that aren't in the column h of keys, true for all that are: Spark's Bloom filter of fixed size."""
+    n = keys.count()
+    bits = min(max(n * FILTER_BITS, 1024), MOST_FILTER_BITS)
+    bloom = keys.agg(InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.col("h"), F.lit(n).cast("long"), F.lit(bits).cast("long"))).scalar()
+    sql = keys.sparkSession._jvm.org.apache.spark.sql
+    own = sql.classic.ExpressionUtils
+    return Column(own.column(sql.catalyst.expressions.BloomFilterMightContain(own.expression(bloom._jc), own.expression(h._jc))))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
@@ -132,7 +146,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tu
     none = F.array().cast(f"array<{_SPAN}>")
     if terms.isEmpty():
         return rows.withColumn("term", none).withColumn("removed", F.array().cast("array<string>"))
-    holds = rows.select("doc_id", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term")
+    holds = rows.select("doc_id", F.explode(F.transform(_terms(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
+    holds = holds.where(among(F.col("h"), terms)).join(terms, "h")
     holds = holds.groupBy(F.col("doc_id").alias("term_id")).agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("any"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed"))
     holds = stored(holds, "holds")
     few = holds.count() <= BROADCAST_ROWS
