@@ -152,6 +152,17 @@ def test_pii_terms_of_a_unique_entity(docs):
     assert out[500] == "the plain office, [REMOVED] xxxxxxx, [EMAIL] of text" and out[501] == "xxxxxxx is plain" and out[0] == data[0][1]
 
 
+def test_pii_terms_at_edges(docs):
+    """Whole words at the end of a window or text count, cut ones don't, and a term goes wherever letters bound it."""
+    plain = "and of the plain text of the plain office"
+    data = [(i, f"{plain} {'abcdefghij'[i % 10] * 4}") for i in range(400)]
+    data += [(500, f"eve@corp.example {plain} quixley"), (501, "Quixley's plain QUIXLEY-office"), (502, f"bob@corp.example\n{plain} and the plain zanzibari"), (503, "the plain zanziba office")]
+    data += [(505, "ΣΟΦΟΣ, kim@corp.example"), (506, "the plain σοφοσ")]
+    out = {r.doc_id: r.text for r in pii.sanitise(docs(data)).collect()}
+    assert out[500] == f"[EMAIL] {plain} xxxxxxx" and out[501] == "xxxxxxx's plain xxxxxxx-office"
+    assert out[503] == "the plain zanziba office" and out[505] == "xxxxx, [EMAIL]" and out[506] == "the plain xxxxx"
+
+
 def test_pii_odd(odd, none):
     assert pii.sanitise(odd).count() == len(ODD) and pii.scan(none).count() == 0
 

@@ -97,10 +97,14 @@ def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: t
     return own.select("*", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
 
+def _fold(text: Column) -> Column:
+    """Lower case as a pattern that ignores case compares: letter by letter."""
+    return F.translate(F.lower(F.translate(text, "İıſµ", "iisμ")), "ς", "σ")
+
+
 def _terms(context: Column) -> Column:
-    """Plain words of a stretch of text: letters only, three or more; pieces cut at the ends are gone already."""
-    bare = F.transform(F.split(F.lower(context), r"\s+"), lambda w: F.regexp_replace(w, r"^\p{P}+|\p{P}+$", ""))
-    return F.array_distinct(F.filter(bare, lambda w: w.rlike(r"^\p{L}{3,}$")))
+    """Words of a stretch of text: whole runs of three letters or more, as the replacing pattern bounds them."""
+    return F.array_distinct(F.regexp_extract_all(_fold(context), F.lit(r"\p{L}{3,}"), 0))
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
@@ -111,9 +115,11 @@ def disclosing(docs: DataFrame) -> DataFrame:
 
     every = F.concat(*map(entities_of, KINDS))
     seen = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select(F.xxhash64("doc_id", "text").alias("doc"), "text", F.explode(every).alias("m"))
-    left = F.substring("text", F.greatest(F.col("m.start") - WINDOW + 1, F.lit(1)).cast("int"), F.least(F.col("m.start"), F.lit(WINDOW)).cast("int"))
+    # One character more than the window on each side tells whether its last word is cut there.
+    left = F.substring("text", F.greatest(F.col("m.start") - WINDOW, F.lit(1)).cast("int"), F.least(F.col("m.start"), F.lit(WINDOW + 1)).cast("int"))
     left = F.when(F.col("m.start") > WINDOW, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.regexp_replace(F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(WINDOW)), rf"(?<=^.{{{WINDOW - 30},{WINDOW}}})\S+$", "")
+    right = F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(WINDOW + 1))
+    right = F.when(F.length(right) > WINDOW, F.regexp_replace(right, r"\S+\z", "")).otherwise(right)
     near = stored(seen.select("doc", F.xxhash64("m.entity").alias("entity"), F.array_union(_terms(left), _terms(right)).alias("terms")), "mentions")
     entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
     # Pairs are counted before they meet their entity's count: an entity in many documents has one row for each term.
@@ -162,7 +168,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others
 
     def named(k):
         if k == "term":
-            put = lambda s: F.when(F.array_contains(F.col("removed"), F.lower(s["match"])), F.lit("[REMOVED]")).otherwise(F.regexp_replace(s["match"], r"\p{L}", "x"))
+            put = lambda s: F.when(F.array_contains(F.col("removed"), _fold(s["match"])), F.lit("[REMOVED]")).otherwise(F.regexp_replace(s["match"], r"\p{L}", "x"))
         else:
             put = lambda s: F.lit(f"[{k.upper()}]")
         return F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
