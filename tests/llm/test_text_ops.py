@@ -163,6 +163,12 @@ def test_pii_terms_at_edges(docs):
     assert out[503] == "the plain zanziba office" and out[505] == "xxxxx, [EMAIL]" and out[506] == "the plain xxxxx"
 
 
+def test_pii_keeps_private_use(docs):
+    """Characters that the operator uses as marks stay in the text, also beside a span."""
+    out = {r.doc_id: r.text for r in pii.sanitise(docs([(1, "a \ue000\ue001\ue002 b"), (2, "\ue001 eve@corp.example\ue002")])).collect()}
+    assert out == {1: "a \ue000\ue001\ue002 b", 2: "\ue001 [EMAIL]\ue002"}
+
+
 def test_pii_odd(odd, none):
     assert pii.sanitise(odd).count() == len(ODD) and pii.scan(none).count() == 0
 

@@ -92,9 +92,9 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (cleaned), other columns, and an array column of spans for each kind."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), clean(F.col(text)).alias("text"), *others)
-    return own.select("*", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    """doc_id, text (null as the empty text), other columns, and an array column of spans for each kind."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), clean(F.col(text)).alias("cleaned"), *others)
+    return own.select("doc_id", "text", *others, *[c.alias(k) for k, c in base_spans(F.col("cleaned")).items()])
 
 
 def _fold(text: Column) -> Column:
@@ -145,7 +145,7 @@ def among(h: Column, keys: DataFrame) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, text (cleaned of the marks only), email, ip, card, phone, term: arrays of (start, end, match),
+    """Per row: doc_id, text (as given, null as empty), email, ip, card, phone, term: arrays of (start, end, match),
     removed (terms to remove rather than generalise), and the columns named in `others`, which mustn't have those names."""
     rows = found(docs, doc_id, text, others)
     terms = stored(disclosing(rows), "terms")
@@ -159,7 +159,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tu
     few = holds.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(holds) if few else holds, F.col("doc_id").eqNullSafe(F.col("term_id")), "left").drop("term_id")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("any"), F.lit(r")(?!\p{L})"))
-    return rows.withColumn("term", F.when(F.col("any").isNotNull(), marked(F.col("text"), pattern)).otherwise(none)).withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).drop("any")
+    return rows.withColumn("term", F.when(F.col("any").isNotNull(), marked(clean(F.col("text")), pattern)).otherwise(none)).withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).drop("any")
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
