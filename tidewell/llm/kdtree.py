@@ -3,16 +3,16 @@
 Vectors are dealt to shards of bounded size by a hash. A shard's tree splits at the median of its widest dimension, and
 each node keeps the tight bounding box of its vectors. For a query q no vector in a box scores more than
 sum(max(q_i * low_i, q_i * high_i)); the traversal opens the node with the highest bound first and ends when no bound
-reaches the kth score so far. That score is passed on: a block of queries first searches its home shard, and the other
-shards start from the kth score found there.
+reaches the kth score so far. That score is passed on: a query first searches the shard that holds its own vector, and
+the other shards start from the kth score found there.
 
-Queries are a set that is stated beforehand. They go to the shards in blocks of bounded size, never broadcast, and a
-task holds one shard and one block.
+Queries are a set that is stated beforehand, never broadcast. A shard is one task: its vectors come first and make the
+tree, once for each of the two rounds; then the queries stream past it, a batch at a time.
 
 Defined results: a vector that is null, or holds a null or a component that isn't finite, takes no part; only vectors
-of one length are compared; rows with the query's own vec_id aren't its candidates; other rows that repeat a vec_id are
-candidates each; ties go to the smaller vec_id; an empty table gives no rows; other columns aren't read. Components are
-integers: scores below 2**53 are exact.
+of one length are compared; rows are numbered, so that rows that repeat a vec_id are queries and candidates each, with a
+list of their own, and a row is no candidate of itself alone; ties go to the smaller vec_id; an empty table gives no rows;
+other columns aren't read. Components are integers: scores below 2**53 are exact.
 """
 
 from __future__ import annotations
@@ -20,28 +20,28 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors of a leaf, of a shard and queries of a block.
-LEAF, SHARD, BLOCK = 256, 16_384, 4_096
+#: Vectors of a leaf and of a shard; queries whose bounds are worked out at once.
+LEAF, SHARD, AT_ONCE = 256, 16_384, 512
 
 
 class Tree:
     """Nodes in arrays: box, children or the run of rows. x: integer-valued float64 rows, ids ascending in each leaf."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
         self.low, self.high, self.kids, self.run = [], [], [], []
         order = np.arange(len(x))
         todo = [(0, len(x), None)]
         while todo:
             a, b, parent = todo.pop()
-            rows = order[a:b]
+            mine = order[a:b]
             node = len(self.kids)
-            low, high = x[rows].min(0), x[rows].max(0)
+            low, high = x[mine].min(0), x[mine].max(0)
             self.low.append(low)
             self.high.append(high)
             self.kids.append([])
@@ -50,21 +50,21 @@ class Tree:
                 self.kids[parent].append(node)
             if b - a > leaf and (high > low).any():
                 wide, half = int((high - low).argmax()), (b - a) // 2
-                order[a:b] = rows[np.argpartition(x[rows, wide], half)]
+                order[a:b] = mine[np.argpartition(x[mine, wide], half)]
                 todo += [(a, a + half, node), (a + half, b, node)]
         for (a, b), kids in zip(self.run, self.kids, strict=True):
             if not kids:
                 order[a:b] = order[a:b][np.argsort(ids[order[a:b]], kind="stable")]
-        self.x, self.ids = x[order], ids[order]
+        self.x, self.ids, self.rows = x[order], ids[order], rows[order]
         self.low, self.high = np.array(self.low), np.array(self.high)
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Highest score that each node's box allows, for each query."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
-    def search(self, q: np.ndarray, own, k: int, bounds: np.ndarray, floor: float) -> list[tuple[float, int]]:
-        """Best (score, id) pairs, at most k, of those that reach floor. Ties to smaller ids."""
-        best: list[tuple[float, int]] = []  # heap of (score, -id): the worst first
+    def search(self, q: np.ndarray, own: int, k: int, bounds: np.ndarray, floor: float) -> list[tuple[float, int, int]]:
+        """Best (score, id, row), at most k, of those that reach floor, without the row `own`. Ties to smaller ids."""
+        best: list[tuple[float, int, int]] = []  # heap of (score, -id, -row): the worst first
         queue = [(-bounds[0], 0)] if bounds[0] >= floor else []
         while queue:
             bound, node = heapq.heappop(queue)
@@ -78,17 +78,17 @@ class Tree:
             a, b = self.run[node]
             scores = self.x[a:b] @ q
             for i in np.flatnonzero(scores >= floor):
-                vec = int(self.ids[a + i])
-                if vec == own:
+                row = int(self.rows[a + i])
+                if row == own:
                     continue
-                item = (float(scores[i]), -vec)
+                item = (float(scores[i]), -int(self.ids[a + i]), -row)
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
             if len(best) == k:
                 floor = max(floor, best[0][0])
-        return [(s, -v) for s, v in best]
+        return [(s, -v, -r) for s, v, r in best]
 
 
 def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -101,45 +101,50 @@ def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> Dat
 
 def top_k(vectors: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score. queries: condition on vec_id that states the query set."""
-    rows = stored(integers(vectors, vec_id, embedding, scale).withColumn("size", F.size("v")), "vectors")
+    rows = stored(integers(vectors, vec_id, embedding, scale).select("vec_id", "v", F.size("v").alias("size"), F.monotonically_increasing_id().alias("row")), "vectors")
+    shards = max(1, -(-rows.count() // SHARD))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     asked = rows.where(queries)
-    n, m = rows.count(), asked.count()
-    if not m:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    shards, blocks = -(-n // SHARD), -(-m // BLOCK)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
-    asked = asked.select("vec_id", "v", "size").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)))
-    home = F.pmod(F.col("block"), F.lit(shards))
-    schema = "query_id long, vec_id long, score double"
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        tree = Tree(np.array(left.v.tolist(), float).reshape(len(left), -1), left.vec_id.to_numpy())
-        q = np.array(right.v.tolist(), float).reshape(len(right), -1)
-        out = []
-        for a in range(0, len(q), 512):
-            for row, own, floor, bounds in zip(q[a : a + 512], right.vec_id[a : a + 512], right.floor[a : a + 512], tree.bounds(q[a : a + 512]), strict=True):
-                out += [(own, v, s) for s, v in tree.search(row, own, k, bounds, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    def search(sent: DataFrame, where) -> DataFrame:
-        """sent: queries with shard, block and floor; each shard goes once to every block that searches it."""
-        at = rows.select("vec_id", "v", "size", "shard", F.explode(where).alias("block"))
-        sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])  # columns of their own: both sides come from `rows`
-        keys = ["shard", "block", "size"]
-        return at.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, schema)
-
-    every = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")
-    at_home = F.filter(every, lambda b: F.pmod(b, F.lit(shards)) == F.col("shard"))
-    first = stored(search(asked.withColumn("shard", home).withColumn("floor", F.lit(float("-inf"))), at_home), "home")
+    fields = ("shard", "size", "kind", "row", "vec_id", "floor", "v")
+    target = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        held, tree, now = [], None, None
+        for batch in batches:
+            shard, size, kind, row, ids, floor = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (size[1:] != size[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(row)], strict=True):
+                if a == b:
+                    continue
+                if (shard[a], size[a]) != now:
+                    now, held, tree = (shard[a], size[a]), [], None
+                x = batch.column(6).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(size[a]))
+                if kind[a] == 0:
+                    held.append((x, ids[a:b], row[a:b]))
+                    continue
+                if tree is None:
+                    if not held:  # no vector of that length here
+                        continue
+                    tree, held = Tree(*map(np.concatenate, zip(*held, strict=True))), []
+                for c in range(0, b - a, AT_ONCE):
+                    bounds = tree.bounds(x[c : c + AT_ONCE])
+                    out = [(row[a + c + i], ids[a + c + i], v, s) for i in range(len(bounds)) for s, v, _ in tree.search(x[c + i], row[a + c + i], k, bounds[i], floor[a + c + i])]
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(target)], schema=target)
+
+    def search(sent: DataFrame) -> DataFrame:
+        """sent: queries with shard and floor."""
+        held = rows.withColumn("kind", F.lit(0)).withColumn("floor", F.lit(0.0))
+        both = held.select(*fields).unionByName(sent.withColumn("kind", F.lit(1)).select(*fields))
+        return both.repartition("shard", "size").sortWithinPartitions("shard", "size", "kind").mapInArrow(run, "query long, query_id long, vec_id long, score double")
+
+    found = stored(search(asked.withColumn("floor", F.lit(float("-inf")))), "home")
     if shards > 1:
-        kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-        known = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")))
-        others = known.select("vec_id", "v", "size", "block", "floor", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard")).where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards)))
-        first = first.unionByName(search(others, F.filter(every, lambda b: F.pmod(b, F.lit(shards)) != F.col("shard"))))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+        kth = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+        known = asked.join(kth, F.col("row") == F.col("query"), "left").withColumn("floor", F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")))
+        others = known.withColumnRenamed("shard", "home").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).where("shard <> home")
+        found = found.unionByName(search(others))
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -150,16 +155,16 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id,
     CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row AND len(q.v) = len(c.v)
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 20
 """
