@@ -8,9 +8,9 @@ longer than what is matched. A kept span gives the template's label and, as scor
 
 Beside this, phrases that name a license are found exactly, and their labels always stay.
 
-Defined results: a null or empty text has no words, no labels and score 0. Rows are handled one by one for the counts;
-rows that repeat a doc_id share the method's labels; null doc_ids count as one id. An empty table gives no rows. Other
-columns aren't read. An empty template set finds phrases only.
+Defined results: a null or empty text has no words, no labels and score 0. Rows are handled one by one: votes go by
+doc_id and a hash of the text, so that rows share them only if both are equal, and null doc_ids with different texts
+don't. An empty table gives no rows. Other columns aren't read. An empty template set finds phrases only.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ BROADCAST_WORDS = 1_000_000
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Customary notices (openings of the public license texts) and their labels.
+# Customary notices, and paragraphs of the public license texts, with their labels. Each paragraph is a
+# template, so that any of them is found without the others.
 TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -42,6 +43,15 @@ TEMPLATES = [
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -81,32 +91,31 @@ def template_rows(spark: SparkSession, templates: list[tuple[str, str]], k: int)
 
 
 def diagonals(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
-    """Verified spans: doc_id, template, label, first and last word, cover. docs: doc_id, text."""
+    """Verified spans: doc_id, tag (hash of the text), template, label, first and last word, cover. docs: doc_id, tag, text."""
     spark = docs.sparkSession
     sides = template_rows(spark, templates, k)
     if sum(len(t.split()) for _, t in templates) <= BROADCAST_WORDS:
         sides = F.broadcast(sides)
-    texts = docs.select("doc_id", word_array(F.col("text")).alias("w"))
-    seen = texts.select("doc_id", F.posexplode(grams(F.col("w"), k)).alias("at", "gram")).join(sides, "gram")
-    votes = seen.groupBy("doc_id", "template", "label", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("place")).alias("place"))
-    across = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    texts = docs.select("doc_id", "tag", word_array(F.col("text")).alias("w"))
+    seen = texts.select("doc_id", "tag", F.posexplode(grams(F.col("w"), k)).alias("at", "gram")).join(sides, "gram")
+    votes = seen.groupBy("doc_id", "tag", "template", "label", "size", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.array_sort(F.collect_set("at")).alias("at"), F.array_sort(F.collect_set("place")).alias("place"))
+    across = Window.partitionBy("doc_id", "tag", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(across) > NEAR).cast("int"), F.lit(1))
     spans = votes.withColumn("new", new).withColumn("span", F.sum("new").over(across))
-    spans = spans.groupBy("doc_id", "template", "label", "size", "span").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("place"))).alias("place"))
+    spans = spans.groupBy("doc_id", "tag", "template", "label", "size", "span").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("place"))).alias("place"))
     under = lambda places: F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + (k - 1))))))
-    spans = spans.select("doc_id", "template", "label", F.array_min("at").alias("first"), (F.array_max("at") + (k - 1)).alias("last"), (under(F.col("place")) / F.col("size")).alias("cover"), under(F.col("at")).alias("matched"))
+    spans = spans.select("doc_id", "tag", "template", "label", F.array_min("at").alias("first"), (F.array_max("at") + (k - 1)).alias("last"), (under(F.col("place")) / F.col("size")).alias("cover"), under(F.col("at")).alias("matched"))
     return spans.where((F.col("cover") >= COVER) & (F.col("matched") >= DENSE * (F.col("last") - F.col("first") + 1)))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    w = own.select("doc_id", word_array(F.col("text")).alias("w"), F.lower("text").contains("license").alias("named"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    w = own.select("doc_id", "tag", word_array(F.col("text")).alias("w"), F.lower("text").contains("license").alias("named"))
     places = F.when(F.col("named"), phrase_places(F.col("w"), PHRASES)).otherwise(F.array().cast("array<struct<at:long,label:string>>"))
-    base = w.select("doc_id", F.size("w").cast("long").alias("n_words"), places.alias("found"))
-    best = diagonals(own, templates).groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("voted"), F.max("cover").alias("cover"))
-    best = best.withColumnRenamed("doc_id", "voted_id")
-    both = base.join(best, F.col("doc_id").eqNullSafe(F.col("voted_id")), "left")
+    base = w.select("doc_id", "tag", F.size("w").cast("long").alias("n_words"), places.alias("found"))
+    best = diagonals(own, templates).groupBy(F.col("doc_id").alias("voted_id"), F.col("tag").alias("voted_tag")).agg(F.array_sort(F.collect_set("label")).alias("voted"), F.max("cover").alias("cover"))
+    both = base.join(best, F.col("doc_id").eqNullSafe(F.col("voted_id")) & (F.col("tag") == F.col("voted_tag")), "left")
     base_labels = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["label"])))
     all_labels = F.array_sort(F.array_union(base_labels, F.coalesce("voted", F.array().cast("array<string>"))))
     return both.select(
