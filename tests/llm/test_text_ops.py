@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate as D
@@ -152,6 +153,71 @@ def test_pii_terms_of_a_unique_entity(docs):
     assert out[500] == "the plain office, [REMOVED] xxxxxxx, [EMAIL] of text" and out[501] == "xxxxxxx is plain" and out[0] == data[0][1]
 
 
+def sanitised(data):
+    """Texts as the operator's docstring defines them, by plain counting. data: (doc_id, text), white space ASCII alone."""
+    words = lambda t: {w.lower() for w in regex.findall(r"\p{L}{3,}", t)}
+    found = [(i, t or "", base_spans(t)) for i, t in data]
+    mentions, near, held = defaultdict(set), defaultdict(set), Counter()
+    for i, t, spans in found:
+        held.update(words(t))
+        for k, a, b in spans:
+            e = (k, (re.sub(r"[ ().-]", "", t[a:b]) if k in ("card", "phone") else t[a:b]).lower())
+            left, right = t[max(0, a - 65) : a], t[b : b + 65]
+            left = re.sub(r"^\S+", "", left) if a > 64 else left
+            right = re.sub(r"\S+\Z", "", right) if len(right) > 64 else right
+            mentions[e].add((i, t))
+            for w in words(left) | words(right):
+                near[e, w].add((i, t))
+    best = defaultdict(float)
+    for (e, w), docs_ in near.items():
+        ic = math.log2(len(data) / len(mentions[e]))
+        if ic > 0:
+            best[w] = max(best[w], math.log2((len(docs_) + 0.5) / (held[w] + 1) * len(data) / len(mentions[e])) / ic)
+    terms = {w: d for w, d in best.items() if d >= 0.8}
+    out = []
+    for i, t, spans in found:
+        put = [(a, b, f"[{k.upper()}]") for k, a, b in spans]
+        put += [(m.start(), m.end(), "[REMOVED]" if terms[m[0].lower()] >= 0.95 else "x" * len(m[0])) for m in regex.finditer(r"\p{L}{3,}", t) if m[0].lower() in terms]
+        at, new = 0, ""
+        for a, b, x in sorted(put):
+            if a >= at:
+                new += t[at:a] + x
+            at = max(at, b)
+        out.append((i, new + t[at:]))
+    return out
+
+
+def test_pii_terms_by_brute_force(docs):
+    rng = random.Random(12)
+    common = ["the", "office", "of", "plain", "Text", "is", "and", "very", "quiet", "um"]
+    people = [(f"p{k}@corp{k % 3}.example", f"name{'abcdefghij'[k] * 3}".replace("name", "Nam")) for k in range(10)] + [("+49 30 1234 5678", "zebra"), ("10.0.0.7", "Lion"), ("4111 1111 1111 1111", "tiger")]
+    data = [(7, None), (8, "")]
+    for i in range(400):
+        w = rng.choices(common, k=rng.randrange(1, 40))
+        if rng.random() < 0.3:
+            mention, name = rng.choice(people)
+            at = rng.randrange(len(w))
+            w[at:at] = [name, mention] if rng.random() < 0.7 else [mention, "!", name]
+        if rng.random() < 0.1:
+            w.append(rng.choice(people[:-3])[1])
+        if rng.random() < 0.1:
+            w.insert(0, f"once{'klmnopqrst'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'klmn'[i // 100]}")
+        data.append((1000 + i, rng.choice([" ", " ", ", ", "\n"]).join(w)))
+    data += data[40:60]
+    got = Counter((r.doc_id, r.text) for r in pii.sanitise(docs(data)).collect())
+    want = Counter(sanitised(data))
+    assert not got - want and not want - got
+    assert sum("[REMOVED]" in t for _, t in got) > 5 < sum("xxx" in t for _, t in got)
+
+
+def test_pii_many_matches(docs):
+    """A text with 60,000 mentions takes time in proportion, and every place is right."""
+    text = "é😀".join(f" u{i}@m.example" for i in range(60_000))
+    r = pii.found(docs([(1, text)])).select("email").first()
+    assert [(x.start, x.end) for x in r.email] == [m.span() for m in re.finditer(r"u\d+@m\.example", text)]
+    assert pii.sanitise(docs([(1, text)])).first().text == "é😀".join([" [EMAIL]"] * 60_000)
+
+
 def test_pii_terms_at_edges(docs):
     """Whole words at the end of a window or text count, cut ones don't, and a term goes wherever letters bound it."""
     plain = "and of the plain text of the plain office"
@@ -201,6 +267,56 @@ def test_license_votes(docs, none):
     assert S.scan(none).count() == 0
 
 
+def voted(text, templates):
+    """Labels and best cover by the docstring's rules, place by place."""
+    w, labels, best = WORD.findall(low(text)), set(), 0.0
+    for label, body in templates:
+        t = WORD.findall(low(body))
+        hits = defaultdict(list)
+        for i in range(len(w) - S.K + 1):
+            for j in range(len(t) - S.K + 1):
+                if w[i : i + S.K] == t[j : j + S.K]:
+                    hits[i - j].append((i, j))
+        spans = []
+        for d in sorted(hits):
+            if spans and d - last <= S.NEAR:
+                spans[-1] += hits[d]
+            else:
+                spans.append(list(hits[d]))
+            last = d
+        for span in spans:
+            at, place = ({x + n for x, n in ((p[k], n) for p in span for n in range(S.K))} for k in (0, 1))
+            cover = len(place) / len(t)
+            if cover >= S.COVER and len(at) >= S.DENSE * (max(at) - min(at) + 1):
+                labels.add(label)
+                best = max(best, cover)
+    return labels, min(best, 1.0)
+
+
+def test_license_votes_by_brute_force(docs):
+    rng = random.Random(14)
+    data = [(7, None), (7, ""), (None, dict(S.TEMPLATES)["bsd"]), (None, "nothing here")]
+    for i in range(150):
+        label, body = rng.choice(S.TEMPLATES)
+        w = body.split()
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(3)] = ["odd"] * rng.randrange(3)
+        half = rng.choice([len(w), len(w) // 2, len(w) // 4])
+        data.append((i // 2, " ".join(["x"] * rng.randrange(9) + w[:half] + rng.choice([[], w[half:], ["gap"] * 9 + w[half:], w]))))
+    half = dict(reversed(S.TEMPLATES))["bsd"].split()
+    data += [(900, " ".join(half[: len(half) // 2])), (900, " ".join(half[len(half) // 2 :]))]
+    got = Counter((r.doc_id, r.labels, round(r.score, 9)) for r in S.scan(docs(data)).collect())
+    want = Counter()
+    for i, t in data:
+        labels, cover = voted(t, S.TEMPLATES)
+        w = WORD.findall(low(t))
+        base = {label for p, label in S.PHRASES.items() if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))}
+        want[i, ",".join(sorted(labels | base)), 1.0 if base else round(cover, 9)] += 1
+    assert not got - want and not want - got
+    assert sum(n for (_, labels, _), n in got.items() if labels) > 40 and got[900, "", 0.0] == 2
+
+
 # ---------------------------------------------------------------- language model
 
 

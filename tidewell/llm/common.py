@@ -8,8 +8,9 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 # Fixed value: the word rule of the contracts (ASCII digits and letters, and every non-ASCII character).
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -28,6 +29,9 @@ def _fold_table() -> bytes:
     return bytes(table)
 
 
+#: Bits of a Bloom filter that keeps most other rows out of a shuffle: for a key, and at most.
+FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 26
+
 #: Byte table: A-Z to lower case, every other ASCII non-word character to a space; UTF-8 bytes over 127 stay.
 FOLD = _fold_table()
 
@@ -90,6 +94,16 @@ def own(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
+def among(h: Column, keys: DataFrame) -> Column:
+    """False for most hashes that aren't in the column h of keys, true for all that are: Spark's Bloom filter of fixed size."""
+    n = keys.count()
+    bits = min(max(n * FILTER_BITS, 1024), MOST_FILTER_BITS)
+    bloom = keys.agg(InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.col("h"), F.lit(n).cast("long"), F.lit(bits).cast("long"))).scalar()
+    sql = keys.sparkSession._jvm.org.apache.spark.sql
+    own = sql.classic.ExpressionUtils
+    return Column(own.column(sql.catalyst.expressions.BloomFilterMightContain(own.expression(bloom._jc), own.expression(h._jc))))
+
+
 def map_rows(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow with a function from one RecordBatch, of `rows` rows at most, to any number of column dicts."""
     from pyspark.sql.types import StructType

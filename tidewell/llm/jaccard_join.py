@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, by_group, map_rows, stored, words
+from .common import Hashes, among, by_group, map_rows, stored, words
 from .graph import components
 
 #: Words of a run; similarity of a link; bands, values of a band; values compared one by one, and at a time.
@@ -32,8 +32,8 @@ RUN, THRESHOLD, BANDS, ROWS, COMPARED, STEP = 5, 0.8, 40, 5, 128, 16
 TOLERANCE = 1e-9
 #: Documents of a block.
 BLOCK = 512
-#: Rows up to which a table of ids is broadcast rather than shuffled (some tens of MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows of (id, hash, number) up to which such a table is broadcast rather than shuffled: 64 bytes each, 32 MB.
+BROADCAST_ROWS = 500_000
 
 
 @cache
@@ -68,12 +68,12 @@ def minhash(runs: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, size of the set, digest of the set, compared values (one byte each), band keys. docs: doc_id, text."""
+    """doc_id, tag, size of the set, digest of the set, compared values (one byte each), band keys. docs: doc_id, tag, text."""
     import xxhash
 
     def run(batch):
         out = {k: [] for k in ("size", "digest", "sig", "bands")}
-        for t in batch.column(1).to_pylist():
+        for t in batch.column(2).to_pylist():
             s = shingles(t)
             m = minhash(s)
             out["size"].append(len(s))
@@ -81,9 +81,9 @@ def prints(docs: DataFrame) -> DataFrame:
             out["sig"].append(((m[:COMPARED] * np.uint32(2654435769)) >> np.uint32(24)).astype(np.uint8).tobytes())
             rows = m.reshape(BANDS, ROWS)
             out["bands"].append([xxhash.xxh3_64_intdigest(rows[b].tobytes(), seed=b) - (1 << 63) for b in range(BANDS)])
-        yield {"doc_id": batch.column(0)} | out
+        yield {"doc_id": batch.column(0), "tag": batch.column(1)} | out
 
-    return map_rows(docs, run, "doc_id long, size long, digest binary, sig binary, bands array<long>")
+    return map_rows(docs, run, "doc_id long, tag long, size long, digest binary, sig binary, bands array<long>")
 
 
 @cache
@@ -160,40 +160,49 @@ def in_blocks(df: DataFrame, count: str, doc: str) -> DataFrame:
     return df.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
 
 
+def tagged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, tag, text. The tag, a hash of the text, tells rows apart that repeat a doc_id."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, class_id, class_size, n_links (other documents at or above the threshold), group_id (the
-    least doc_id that it is linked with, directly or through others)."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """Per document: doc_id, tag, class_id, class_size, n_links (other documents at or above the threshold), group_id (the
+    least doc_id that it is linked with, directly or through others), group_tag (of that document), able (has a set)."""
+    named = tagged(docs, doc_id, text)
     every = stored(prints(named), "prints")
     able = every.where("size > 0 AND doc_id IS NOT NULL")
-    classes = stored(able.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "classes")
-    # Buckets with more than one representative.
-    keys = classes.select("class_id", F.explode("bands").alias("key"))
+    classes = able.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("least"), F.count("*").alias("class_size"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+    classes = stored(classes.select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.tag").alias("class_tag"), "class_size", "sig", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+    # Buckets with more than one class.
+    keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").count().where("count > 1")
-    held = keys.join(shared, "key").join(classes.select("class_id", "sig"), "class_id")
+    held = keys.join(shared, "key").join(classes.select("node", "sig"), "node")
 
     def bucket(t):
-        ids, sig = t["class_id"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), COMPARED)
+        ids, sig = t["node"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), COMPARED)
         found = joined(ids, sig)
         return {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
-    near = by_group(in_blocks(held, "count", "class_id").select("key", "i", "j", "class_id", "sig"), ["key", "i", "j"], bucket, "a long, b long")
+    near = by_group(in_blocks(held, "count", "node").select("key", "i", "j", "node", "sig"), ["key", "i", "j"], bucket, "a long, b long")
     likely = components(near)
-    sizes = likely.groupBy("component").count()
-    members = stored(likely.join(sizes, "component").join(classes.select("class_id", "class_size", "sig"), F.col("id") == F.col("class_id")).select("component", "count", "id", "class_size", "sig"), "members")
-    n = members.count()
+    members = stored(likely.join(likely.groupBy("component").count(), "component").join(classes.select("node", "class_id", "class_tag", "class_size", "sig"), F.col("id") == F.col("node")).drop("id"), "members")
 
     def sets(batch):
-        names = batch.schema.names
-        yield {c: batch.column(i) for i, c in enumerate(names) if c != "text"} | {"runs": [shingles(x).tobytes() for x in batch.column(names.index("text")).to_pylist()]}
-
-    one = named.join((F.broadcast if n <= BROADCAST_ROWS else lambda x: x)(members), F.col("doc_id") == F.col("id"))
-    one = map_rows(one.select("component", "count", "id", "class_size", "sig", "text"), sets, "component long, count long, id long, class_size long, sig binary, runs binary")
-    one = stored(one.dropDuplicates(["id"]), "sets")
+        yield {"of": batch.column(0), "runs": [shingles(x).tobytes() for x in batch.column(1).to_pylist()]}
+
+    # Texts meet their numbers alone. Beyond what may be broadcast, a Bloom filter keeps most other texts out of the shuffle.
+    wanted = members.select(F.col("node").alias("of"), "class_id", "class_tag")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted, texts = F.broadcast(wanted), named
+    else:
+        texts = named.where(among(F.xxhash64("doc_id", "tag"), wanted.select(F.xxhash64("class_id", "class_tag").alias("h"))))
+    one = texts.join(wanted, (F.col("doc_id") == F.col("class_id")) & (F.col("tag") == F.col("class_tag"))).select("of", "text")
+    one = map_rows(one, sets, "of long, runs binary").dropDuplicates(["of"])
+    one = stored(one.join(members, F.col("of") == F.col("node")).select("component", "count", "node", "class_size", "sig", "runs"), "sets")
 
     def block(t):
-        t = t.sort_by("id")
-        ids, weight, own = t["id"].to_pylist(), t["class_size"].to_pylist(), t["own"].to_numpy()
+        t = t.sort_by("node")
+        ids, weight, own = t["node"].to_pylist(), t["class_size"].to_pylist(), t["own"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), COMPARED)
         links, root = [0] * len(ids), list(range(len(ids)))
 
@@ -208,20 +217,23 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
                 links[b] += weight[a]
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
-        return {"id": ids, "links": links, "root": [ids[top(x)] for x in range(len(ids))]}
-
-    found = stored(by_group(in_blocks(one, "count", "id"), ["component", "i", "j"], block, "id long, links long, root long"), "found")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = components(found.where("id <> root"), "id", "root").withColumnRenamed("id", "group_of")
-    known = classes.select("digest", "class_id", "class_size").join(links, F.col("class_id") == F.col("id"), "left").drop("id").join(groups, F.col("class_id") == F.col("group_of"), "left").drop("group_of")
-    out = every.select("doc_id", "digest", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("able")).join(known.withColumnRenamed("digest", "of"), F.col("able") == F.col("of"), "left")
+        return {"node": ids, "links": links, "root": [ids[top(x)] for x in range(len(ids))]}
+
+    found = stored(by_group(in_blocks(one, "count", "node"), ["component", "i", "j"], block, "node long, links long, root long"), "found")
+    links = found.groupBy(F.col("node").alias("linked")).agg(F.sum("links").alias("links"))
+    groups = components(found.where("node <> root"), "node", "root").select(F.col("id").alias("grouped"), F.col("component").alias("group"))
+    first = groups.join(classes.select("node", "class_id", "class_tag"), F.col("grouped") == F.col("node")).groupBy("group").agg(F.min(F.struct("class_id", "class_tag")).alias("first"))
+    known = classes.select(F.col("digest").alias("of"), "class_id", "class_tag", "class_size", "node").join(links, F.col("node") == F.col("linked"), "left").join(groups.join(first, "group"), F.col("node") == F.col("grouped"), "left")
+    known = known.select("of", "class_id", "class_size", "links", F.coalesce("first.class_id", "class_id").alias("group_id"), F.coalesce("first.class_tag", "class_tag").alias("group_tag"))
+    is_able = (F.col("size") > 0) & F.col("doc_id").isNotNull()
+    out = every.select("doc_id", "tag", is_able.alias("able"), F.when(is_able, F.col("digest")).alias("digest")).join(known, F.col("digest") == F.col("of"), "left")
     return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("class_size", F.lit(1)) - 1).alias("n_links"), F.coalesce("component", "class_id", "doc_id").alias("group_id"),
+        "doc_id", "tag", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        (F.coalesce("links", F.lit(0)) + F.coalesce("class_size", F.lit(1)) - 1).alias("n_links"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("group_tag", "tag").alias("group_tag"), "able",
     )
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "group_id")

@@ -23,18 +23,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
-from .common import stored
+from .common import among, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters on each side of a mention in which a term co-occurs with it.
 WINDOW = 64
 GENERALISE, REMOVE = 0.8, 0.95
-#: Documents with such terms up to which their list is broadcast; more are joined by shuffling the texts.
-BROADCAST_ROWS = 500_000
-#: Bits of the Bloom filter of the terms that keep most other words out of a shuffle: for a term, and at most.
-FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 26
+#: Bytes of documents' terms up to which they're broadcast; more are joined by shuffling the texts.
+BROADCAST_BYTES = 32_000_000
 
 _OPEN, _SHUT, _JOIN = "\ue000", "\ue001", "\ue002"
 # The patterns of the contract, written so that no group recurses and no start inside a run is tried twice: a match
@@ -47,19 +44,60 @@ _SEPARATOR = r"(?<=[0-9])[ -](?=[0-9])"
 _CARD = rf"(?<![0-9{_JOIN}])[0-9](?:{_JOIN}?[0-9]){{12,18}}(?![0-9{_JOIN}])"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _SPAN = "struct<start:long,end:long,match:string>"
+#: Elements of a block of a running sum; characters of a chunk of text.
+BLOCK, CHUNK = 64, 4096
+NONE = lambda: F.array().cast(f"array<{_SPAN}>")
+
+
+def let(value: Column, fn) -> Column:
+    """fn(value), with the value worked out once however often fn names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def running(x: Column, add, zero: Column, levels: int = 2) -> Column:
+    """What `add` makes of the elements before each one, from zero. Elements are taken in blocks of BLOCK, and blocks of
+    blocks, so that the growing array of a block is all that is ever copied: no square of the length."""
+    if not levels:
+        first = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(x, first, lambda s, v: F.struct(add(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    def in_blocks(x):
+        last = F.ceil(F.size(x) / BLOCK).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def from_blocks(blocks):
+        before = running(F.transform(blocks, lambda b: F.aggregate(b, zero, add)), add, zero, levels - 1)
+        return F.flatten(F.zip_with(blocks, before, lambda b, at: running(b, add, at, 0)))
+
+    return let(let(x, in_blocks), from_blocks)
 
 
 def marked(text: Column, pattern) -> Column:
-    """Array of (start, end, match) of a pattern's leftmost matches that don't overlap. text: free of the marks."""
+    """Array of (start, end, match) of a pattern's leftmost matches that don't overlap. text: free of the marks.
+
+    The parts between marks are text and match in turn; running sums of their lengths give the places."""
     parts = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]", -1)
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{_SPAN}>").alias("found"))
 
-    def step(s, p):
-        end = s["at"] + F.length(p)
-        span = F.struct(s["at"].alias("start"), end.alias("end"), p.alias("match"))
-        return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"], F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
+    def spans(parts):
+        at = running(F.transform(parts, lambda p: F.length(p).cast("long")), lambda a, b: a + b, F.lit(0).cast("long"))
+        odd = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
+        one = lambda at, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(F.get(parts, i))).alias("end"), F.get(parts, i).alias("match"))
+        return F.when(F.size(parts) > 1, let(at, lambda at: F.transform(odd, lambda i: one(at, i)))).otherwise(NONE())
+
+    return let(parts, spans)
+
 
-    return F.aggregate(parts, first, step)["found"]
+def chunked(text: Column) -> Column:
+    """The text in pieces of CHUNK characters, for `part`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
+
+
+def part(chunks: Column, start: Column, length: Column) -> Column:
+    """Characters from a place (from 0) on, without walking there from the start of the text. The place isn't negative."""
+    start, length = start.cast("int"), F.greatest(length, F.lit(0)).cast("int")
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.floor((start + length) / CHUNK).cast("int") - first + 1), "")
+    return F.substring(held, start - first * CHUNK + 1, length)
 
 
 def luhn(digits: Column) -> Column:
@@ -76,7 +114,7 @@ def clean(text: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Kind -> array of (start, end, match). text: cleaned."""
-    none = F.array().cast(f"array<{_SPAN}>")
+    none = NONE()
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
     masked = F.regexp_replace(text, _SEPARATOR, _JOIN)
     email = marked(text, F.lit(_EMAIL))
@@ -113,13 +151,20 @@ def disclosing(docs: DataFrame) -> DataFrame:
         value = lambda m: F.lower(F.regexp_replace(m, f"[ ().{_JOIN}-]", "") if k in ("card", "phone") else m)
         return F.transform(k, lambda s: F.struct(F.concat(F.lit(k + ":"), value(s["match"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
 
-    every = F.concat(*map(entities_of, KINDS))
-    seen = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0).select(F.xxhash64("doc_id", "text").alias("doc"), "text", F.explode(every).alias("m"))
-    # One character more than the window on each side tells whether its last word is cut there.
-    left = F.substring("text", F.greatest(F.col("m.start") - WINDOW, F.lit(1)).cast("int"), F.least(F.col("m.start"), F.lit(WINDOW + 1)).cast("int"))
-    left = F.when(F.col("m.start") > WINDOW, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.substring("text", (F.col("m.end") + 1).cast("int"), F.lit(WINDOW + 1))
-    right = F.when(F.length(right) > WINDOW, F.regexp_replace(right, r"\S+\z", "")).otherwise(right)
+    # Windows are cut before mentions become rows, so that no row carries a text. One character more than the window on
+    # each side tells whether its last word is cut there.
+    def windows(chunks):
+        def one(m):
+            left = part(chunks, F.greatest(m["start"] - WINDOW - 1, F.lit(0)), F.least(m["start"], F.lit(WINDOW + 1)))
+            right = part(chunks, m["end"], F.lit(WINDOW + 1))
+            return F.struct(m["entity"].alias("entity"), m["start"].alias("start"), left.alias("left"), right.alias("right"))
+
+        return F.transform(F.concat(*map(entities_of, KINDS)), one)
+
+    seen = docs.where(F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0)
+    seen = seen.select(F.xxhash64("doc_id", "text").alias("doc"), let(chunked(F.col("text")), windows).alias("all")).select("doc", F.explode("all").alias("m"))
+    left = F.when(F.col("m.start") > WINDOW, F.regexp_replace("m.left", r"^\S+", "")).otherwise(F.col("m.left"))
+    right = F.when(F.length("m.right") > WINDOW, F.regexp_replace("m.right", r"\S+\z", "")).otherwise(F.col("m.right"))
     near = stored(seen.select("doc", F.xxhash64("m.entity").alias("entity"), F.array_union(_terms(left), _terms(right)).alias("terms")), "mentions")
     entities = near.groupBy("entity").agg(F.count_distinct("doc").alias("n_e"))
     # Pairs are counted before they meet their entity's count: an entity in many documents has one row for each term.
@@ -134,29 +179,19 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return rows.groupBy("h", "term").agg(F.max(F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
-def among(h: Column, keys: DataFrame) -> Column:
-    """False for most hashes that aren't in the column h of keys, true for all that are: Spark's Bloom filter of fixed size."""
-    n = keys.count()
-    bits = min(max(n * FILTER_BITS, 1024), MOST_FILTER_BITS)
-    bloom = keys.agg(InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.col("h"), F.lit(n).cast("long"), F.lit(bits).cast("long"))).scalar()
-    sql = keys.sparkSession._jvm.org.apache.spark.sql
-    own = sql.classic.ExpressionUtils
-    return Column(own.column(sql.catalyst.expressions.BloomFilterMightContain(own.expression(bloom._jc), own.expression(h._jc))))
-
-
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, text (as given, null as empty), email, ip, card, phone, term: arrays of (start, end, match),
     removed (terms to remove rather than generalise), and the columns named in `others`, which mustn't have those names."""
-    rows = found(docs, doc_id, text, others)
+    rows = stored(found(docs, doc_id, text, others), "found")  # the patterns run once
     terms = stored(disclosing(rows), "terms")
-    none = F.array().cast(f"array<{_SPAN}>")
+    none = NONE()
     if terms.isEmpty():
         return rows.withColumn("term", none).withColumn("removed", F.array().cast("array<string>"))
     holds = rows.select("doc_id", F.explode(F.transform(_terms(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
     holds = holds.where(among(F.col("h"), terms)).join(terms, "h")
     holds = holds.groupBy(F.col("doc_id").alias("term_id")).agg(F.concat_ws("|", F.array_sort(F.collect_set("term"))).alias("any"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("removed"))
     holds = stored(holds, "holds")
-    few = holds.count() <= BROADCAST_ROWS
+    few = (holds.agg(F.sum(F.octet_length("any") + 3 * F.octet_length(F.array_join("removed", "")) + 100)).first()[0] or 0) <= BROADCAST_BYTES
     rows = rows.join(F.broadcast(holds) if few else holds, F.col("doc_id").eqNullSafe(F.col("term_id")), "left").drop("term_id")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("any"), F.lit(r")(?!\p{L})"))
     return rows.withColumn("term", F.when(F.col("any").isNotNull(), marked(clean(F.col("text")), pattern)).otherwise(none)).withColumn("removed", F.coalesce("removed", F.array().cast("array<string>"))).drop("any")
@@ -173,16 +208,23 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", others
             put = lambda s: F.lit(f"[{k.upper()}]")
         return F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put")))
 
-    spans = F.array_sort(F.concat(*[named(k) for k in (*KINDS, "term")]))
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    def put_in(chunks, spans):
+        """Texts between the spans and what stands for each; a span that begins inside another ends with it."""
+        def pieces(reached):
+            def one(x, i):
+                at = F.get(reached, i)
+                return F.when(x["start"] < at, F.lit("")).otherwise(F.concat(part(chunks, at, x["start"] - at), x["put"]))
 
-    def step(s, x):
-        before = F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], before, x["put"])).alias("out"))
+            return F.transform(spans, one)
 
-    done = F.aggregate(spans, first, step)
-    rest = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text"))
-    return rows.select("doc_id", F.when(F.size(spans) > 0, F.concat(done["out"], rest)).otherwise(F.col("text")).alias("text"), *others)
+        most = lambda a, b: F.greatest(a, b)
+        ends = F.transform(spans, lambda x: x["end"])
+        return F.concat(F.array_join(let(running(ends, most, F.lit(0).cast("long")), pieces), ""), let(F.array_max(ends), lambda at: part(chunks, at, F.length("text") - at)))
+
+    spans = F.array_sort(F.concat(*[named(k) for k in (*KINDS, "term")]))
+    new = let(F.struct(chunked(F.col("text")).alias("chunks"), spans.alias("spans")), lambda x: put_in(x["chunks"], x["spans"]))
+    some = sum((F.size(k) for k in (*KINDS, "term")), F.lit(0)) > 0
+    return rows.select("doc_id", F.when(some, new).otherwise(F.col("text")).alias("text"), *others)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

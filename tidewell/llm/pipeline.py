@@ -24,13 +24,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents linked by a five-word Jaccard similarity of 0.8 or more, the one with the least doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    kept = stored(jaccard_join.join(docs).where("doc_id = group_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")), "kept")
-    few = kept.count() <= jaccard_join.BROADCAST_ROWS
-    out = docs.join(F.broadcast(kept) if few else kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    if not kept.where("rows > 1").isEmpty():  # rows that repeat an id and a text are one group as well
-        out = out.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).drop("text_hash")
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    own = ("doc_id", "tag")
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("tag"))
+    rows = stored(jaccard_join.join(docs), "groups").where("able")
+    first = (F.col("doc_id") == F.col("group_id")) & (F.col("tag") == F.col("group_tag"))
+    held = lambda df: F.broadcast(df) if df.count() <= jaccard_join.BROADCAST_ROWS else df
+    out = docs.join(held(stored(rows.where(~first).select(*own).distinct(), "others")), list(own), "left_anti")
+    again = stored(rows.where(first).groupBy(*own).count().where("count > 1").select(*own), "again")
+    if not again.isEmpty():  # rows that repeat an id and a text are one group as well
+        out = out.join(held(again), list(own), "left_anti").unionByName(out.join(held(again), list(own), "left_semi").dropDuplicates(list(own)))
+    return out.select(*COLUMNS)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
