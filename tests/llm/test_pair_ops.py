@@ -1,9 +1,11 @@
 """Search, near duplicates, suffix arrays, WARC and the pipeline against brute force."""
 
+import gzip
 import hashlib
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -187,11 +189,84 @@ def test_warc_records(tmp_path, spark):
     pages = spark.createDataFrame([(1, "http://a.example/", PAGE, 0), (2, None, None, 0), (3, "::bad[", "<a href='http://[x'>t<script>open", 0), (3, "u", "<p", 0)], "page_id long, url string, html string, n_bytes int")
     rows = warc.derivatives(pages)
     files = warc.write(rows, str(tmp_path / "out")).collect()
-    found = [x for f in files if f.records for x in warc.read(f.file)]
+    read = lambda f: warc.parse(open(f, "rb").read())
+    found = [x for f in files if f.records for x in read(f.file)]
     assert len(found) == 8 == rows.count() and {dict(h)["WARC-Record-ID"] for h, _ in found} == {r.record_id for r in rows.collect()}
     assert warc.derivatives(pages.limit(0)).count() == 0
 
 
+class Plain(HTMLParser):
+    """Text by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden, self.title = [], None, False
+
+    def handle_starttag(self, tag, attrs):
+        self.out.append("\n" if tag in warc._BLOCK and not self.hidden else "")
+        self.hidden = self.hidden or (tag if tag in warc._HIDDEN else None)
+        self.title = self.title or tag == "title"
+
+    def handle_endtag(self, tag):
+        self.out.append("\n" if tag in warc._BLOCK and not self.hidden else "")
+        self.hidden = None if tag == self.hidden else self.hidden
+        self.title = self.title and tag != "title"
+
+    def handle_data(self, data):
+        if not self.hidden and not self.title:
+            self.out.append(data)
+
+
+def test_warc_text_by_brute_force():
+    rng = random.Random(15)
+    word = lambda: rng.choice(["İİ", "plain", "ǅ", "x &amp; y", "é", "&#304;", "ẞ", "a  b", "&lt;p>"])
+    for _ in range(300):
+        page = ""
+        for _ in range(rng.randrange(1, 25)):
+            tag = rng.choice(["p", "div", "b", "SPAN", "h1", "li"])
+            page += rng.choice([
+                f"<{tag}>{word()} {word()}</{tag}>", f"<SCRIPT>var {rng.choice(['İ', 'x'])} = 1</Script>", f"<style>{word()}</STYLE>", f"<!-- {word()} -->", "<br>", f"{word()}\n", f'<a href="/{word()}" title="a > b">{word()}</a>', f"<title>{word()}</title>",
+            ])
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        want = "\n".join(x for line in "".join(plain.out).split("\n") if (x := re.sub(r"[ \t\r\f\v ]+", " ", line).strip(" ")))
+        assert warc.read_page(page)[0] == want, page
+    assert warc.read_page("İ" * 30 + "<script>x</script><p>visible text here</p>")[0] == "İ" * 30 + "\nvisible text here"
+    assert warc.read_page("<p>" + "long " * 300_000 + "<SCRIPT>" + "x" * 1000)[0] == ("long " * 300_000).strip()
+
+
+def test_warc_source(spark, tmp_path):
+    """Response records of files come out as linked records, whatever stands between them."""
+    rng, want = random.Random(16), {}
+    for n in range(3):
+        data = b""
+        for k in range(40):
+            kind = rng.choice(["response", "response", "request", "warcinfo"])
+            body = f"<title>T{k}</title><p>İ page {n} {k}</p>".encode()
+            fields = b"content-type: text/html; Charset=UTF-8\r\n"
+            if k % 3 == 1:
+                body, fields = gzip.compress(body), fields + b"Content-Encoding: gzip\r\n"
+            if k % 3 == 2:
+                body, fields = b"%x\r\n%s\r\n0\r\n\r\n" % (len(body), body), fields + b"Transfer-Encoding: chunked\r\n"
+            rid = f"<urn:uuid:{n}-{k}>"
+            headers = [("warc-type", kind), ("WARC-Record-ID", rid), ("WARC-Target-URI", f"http://e.example/{n}/{k}"), ("WARC-Date", "2024-01-02T03:04:05Z"), ("WARC-Payload-Digest", f"sha1:{n}{k}")]
+            r = warc.record(headers, b"HTTP/1.1 200 OK\r\n" + fields + b"\r\n" + body)
+            data += gzip.compress(r) if n else r
+            if kind == "response":
+                want[rid] = (f"İ page {n} {k}", f"sha1:{n}{k}", f"http://e.example/{n}/{k}")
+        (tmp_path / f"{n}.warc{'.gz' if n else ''}").write_bytes(data)
+    rows = warc.derived(warc.responses(spark, str(tmp_path / "*.warc*"))).collect()
+    texts = {r.refers_to: r for r in rows if r.kind == "conversion"}
+    about = {r.refers_to: r for r in rows if r.kind == "metadata"}
+    assert {k: (r.content, r.source_digest, r.target_uri) for k, r in texts.items()} == want and set(about) == set(want) and len(rows) == 2 * len(want)
+    assert all(about[k].record_id == texts[k].concurrent_to and texts[k].record_id == about[k].concurrent_to and f"title: T" in about[k].content for k in want)
+    for r in rows:
+        (headers, block), = warc.parse(r.record)
+        assert warc.digest(block) == r.block_digest == dict(headers)["WARC-Block-Digest"] and dict(headers)["WARC-Refers-To"] == r.refers_to
+    assert warc.responses(spark, str(tmp_path / "0.warc")).limit(0).count() == 0
+
+
 # ---------------------------------------------------------------- pipeline and registry
 
 

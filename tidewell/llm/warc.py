@@ -7,6 +7,9 @@ Both name the response in WARC-Refers-To, repeat its target and date, carry its
 have a block digest of their own, and name each other in WARC-Concurrent-To. Ids are version-5 UUIDs of the source's
 id, so that a task that runs again makes the same records.
 
+Response records come from .warc and .warc.gz files (`responses`, then `derived`), or are made up for pages that were kept
+without one (`derivatives`). Names of headers are found whatever their case; transfer and content codings are undone.
+
 Defined results: null html is an empty page, with an empty conversion; a null url gives a target of `urn:page:<id>`; rows
 are handled one by one, repeated or not; an empty table gives no records; other columns aren't read; damaged markup is
 read as far as it goes: an open comment or script ends with the page.
@@ -21,14 +24,18 @@ import html as entities
 import io
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, small_batches
 
 CRLF = b"\r\n"
+#: Bytes of blocks that a reading task gathers before it hands them on.
+BATCH_BYTES = 8_000_000
 #: Date of records whose source states none.
 NO_DATE = "1970-01-01T00:00:00Z"
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -37,6 +44,7 @@ _SPACE = re.compile(r"[ \t\r\f\v ]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 # Elements of HTML whose content isn't text, and those that begin a new line.
 _HIDDEN = {"script", "style", "noscript", "template", "iframe", "svg"}
+_CLOSING = {name: re.compile(f"</{name}", re.I | re.A) for name in _HIDDEN}
 _BLOCK = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul"}
 
 
@@ -50,7 +58,7 @@ def record_id(*parts: str) -> str:
 
 def read_page(page: str) -> tuple[str, dict[str, str], list[str]]:
     """Text, what the head says (title, lang, charset, description), links."""
-    out, links, said, at, low, title = [], [], {}, 0, page.lower(), None
+    out, links, said, at, title = [], [], {}, 0, None
     while True:
         lt = page.find("<", at)
         if lt < 0:
@@ -84,10 +92,10 @@ def read_page(page: str) -> tuple[str, dict[str, str], list[str]]:
                 title = None
             continue
         if name in _HIDDEN:
-            end = low.find(f"</{name}", at)
-            if end < 0:
+            end = _CLOSING[name].search(page, at)  # on the page itself: a lower-cased one may be longer
+            if not end:
                 break
-            at = end
+            at = end.start()
             continue
         if name == "title":
             title = len(out)
@@ -113,19 +121,82 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1" + CRLF + head + CRLF + block + CRLF + CRLF
 
 
+def records(stream) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Records of an uncompressed WARC stream, one at a time. Header lines that go on are joined; a file that breaks off
+    ends with its last whole record; a record without a length, or something else in its place, raises ValueError."""
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        headers: list[tuple[str, str]] = []
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            text = line.decode("utf-8", "surrogatepass" if _is_utf8(line) else "replace").rstrip("\r\n")
+            if text[:1] in " \t" and headers:
+                headers[-1] = (headers[-1][0], f"{headers[-1][1]} {text.strip()}")
+            else:
+                name, _, value = text.partition(":")
+                headers.append((name.strip(), value.strip()))
+        size = named(headers, "Content-Length")
+        if size is None or not size.isdecimal():
+            raise ValueError("a record has no length")
+        block = stream.read(int(size))
+        if len(block) < int(size):
+            return
+        yield headers, block
+
+
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8", "surrogatepass")
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def named(headers: list[tuple[str, str]], name: str, other: str | None = None) -> str | None:
+    """First value of a header, whatever the case of its name."""
+    return next((v for k, v in headers if k.lower() == name.lower()), other)
+
+
+def opened(data: bytes):
+    return gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+
+
 def parse(data: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
-    """Records of an uncompressed or gzipped WARC file."""
-    data, out, at = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, [], 0
-    while at < len(data):
-        end = data.index(CRLF + CRLF, at)
-        lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = [tuple(x.split(": ", 1)) for x in lines[1:]]
-        size = int(dict(headers)["Content-Length"])
-        out.append((headers, data[end + 4 : end + 4 + size]))
-        at = end + 4 + size + 4
-    return out
+    """Records of a WARC file, gzipped or not."""
+    return list(records(opened(data)))
+
+
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of the WARC files at a path that Spark reads (a file, a folder or a pattern): file, record_id,
+    headers (array of name and value), block. Other records are passed over.
+
+    A file is one task's, as Spark's reader gives it (2 GB of compressed bytes at most); its records are unpacked one by one."""
+    import pyarrow as pa
+
+    small_batches(spark)
+    target = pa.schema([("file", pa.string()), ("record_id", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held, size = [], 0
+                for headers, block in records(opened(content.as_py())):
+                    if named(headers, "WARC-Type", "").lower() == "response":
+                        held.append({"file": file, "record_id": named(headers, "WARC-Record-ID"), "headers": [{"name": k, "value": v} for k, v in headers], "block": block})
+                        size += len(block)
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema=target)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema=target)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, record_id string, headers array<struct<name:string,value:string>>, block binary")
 
 
 def response(page_id, url: str | None, page: str | None, date: str = NO_DATE) -> tuple[list[tuple[str, str]], bytes]:
@@ -138,19 +209,20 @@ def response(page_id, url: str | None, page: str | None, date: str = NO_DATE) ->
 
 def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tuple[str, str]], bytes]]:
     """The metadata and the conversion record of a response record."""
-    source = dict(headers)
     http, _, body = block.partition(CRLF + CRLF)
-    status, *fields = http.decode("latin-1").split("\r\n")
-    fields = dict(x.split(": ", 1) for x in fields if ": " in x)
-    charset = re.search(r"charset=[\"']?([\w-]+)", fields.get("Content-Type", ""))
+    status, *lines = http.decode("latin-1").split("\r\n")
+    fields = [(k.strip(), v.strip()) for k, colon, v in (x.partition(":") for x in lines) if colon]
+    payload = _plain(body, fields)
+    charset = re.search(r"charset=[\"']?([\w-]+)", named(fields, "Content-Type", ""), re.I)
     try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
+        page = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:  # a character set that nobody knows
-        page = body.decode("utf-8", "replace")
+        page = payload.decode("utf-8", "replace")
     text, said, links = read_page(page)
-    own, target = source["WARC-Record-ID"], source.get("WARC-Target-URI", "")
+    own = named(headers, "WARC-Record-ID") or record_id("response", digest(block))
+    target, date = named(headers, "WARC-Target-URI", ""), named(headers, "WARC-Date", NO_DATE)
     ids = {k: record_id(k, own) for k in ("metadata", "conversion")}
-    lines = [("http-status", status), *((f"http-{k.lower()}", v) for k, v in sorted(fields.items())), *sorted((k, " ".join(v.split())) for k, v in said.items())]
+    lines = [("http-status", status), *((f"http-{k.lower()}", v) for k, v in sorted(fields)), *sorted((k, " ".join(v.split())) for k, v in said.items())]
     for link in dict.fromkeys(links):
         try:
             lines.append(("outlink", "".join(urljoin(target, link.strip()).split())))
@@ -162,28 +234,72 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
         ("conversion", "metadata", "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass")),
     ):
         out.append((
-            [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", own), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", source.get("WARC-Date", NO_DATE)), ("WARC-Concurrent-To", ids[other]), ("WARC-Target-URI", target), ("WARC-Date", source.get("WARC-Date", NO_DATE)), ("WARC-Source-Payload-Digest", source.get("WARC-Payload-Digest", digest(body))), ("Content-Type", media), ("WARC-Block-Digest", digest(made))],
+            [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", own), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Concurrent-To", ids[other]), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Source-Payload-Digest", named(headers, "WARC-Payload-Digest") or digest(body)), ("Content-Type", media), ("WARC-Block-Digest", digest(made))],
             made,
         ))
     return out
 
 
+def _plain(body: bytes, fields: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content codings; a coding that can't be undone is left as it is."""
+    if "chunked" in named(fields, "Transfer-Encoding", "").lower():
+        out, stream = [], io.BytesIO(body)
+        while size := re.match(rb"[0-9a-fA-F]+", stream.readline()):
+            if not int(size[0], 16):
+                break
+            out.append(stream.read(int(size[0], 16)))
+            stream.readline()
+        body = b"".join(out) or body
+    coding = named(fields, "Content-Encoding", "").lower()
+    try:
+        if coding in ("gzip", "x-gzip"):
+            return gzip.decompress(body)
+        if coding == "deflate":
+            return zlib.decompress(body)
+    except (OSError, EOFError, zlib.error):
+        pass
+    return body
+
+
+_FIELDS = "kind string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, source_digest string, block_digest string, n_bytes long, content string, record binary"
+
+
+def _row(headers: list[tuple[str, str]], block: bytes, whole: bool) -> tuple:
+    """The columns of _FIELDS of a derived record."""
+    d = dict(headers)
+    return (d["WARC-Type"], d["WARC-Record-ID"], d["WARC-Refers-To"], d["WARC-Concurrent-To"], d["WARC-Target-URI"], d["WARC-Date"], d["Content-Type"], d["WARC-Source-Payload-Digest"], d["WARC-Block-Digest"], len(block), block.decode("utf-8", "replace"), gzip.compress(record(headers, block), 6, mtime=0) if whole else None)
+
+
+def derived(found: DataFrame, whole: bool = True) -> DataFrame:
+    """Two rows for each response record, as `responses` returns them: file, and the columns of `derivatives` from kind on.
+    A record without a block is an empty one; rows that repeat a record give their two rows each."""
+
+    def run(batch):
+        names = ["file", *(f.split(" ")[0] for f in _FIELDS.split(", "))]
+        out = {k: [] for k in names}
+        for file, headers, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for derived_headers, made in derive([(h["name"], h["value"] or "") for h in headers or () if h and h["name"]], block or b""):
+                for k, v in zip(names, (file, *_row(derived_headers, made, whole)), strict=True):
+                    out[k].append(v)
+        yield out
+
+    return map_rows(found.select("file", "headers", "block"), run, f"file string, {_FIELDS}", rows=100)
+
+
 def derivatives(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", date: str = NO_DATE, whole: bool = True) -> DataFrame:
     """Two rows a page: page_id, kind, record_id, refers_to, concurrent_to, target_uri, date, content_type, source_digest,
     block_digest, n_bytes, content (the block as text), record (the whole record, a gzip member of its own; null unless `whole`)."""
 
     def run(batch):
-        out = {k: [] for k in ("page_id", "kind", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_digest", "block_digest", "n_bytes", "content", "record")}
+        names = ["page_id", *(f.split(" ")[0] for f in _FIELDS.split(", "))]
+        out = {k: [] for k in names}
         for p, u, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             for headers, block in derive(*response(p, u, h, date)):
-                d = dict(headers)
-                row = (p, d["WARC-Type"], d["WARC-Record-ID"], d["WARC-Refers-To"], d["WARC-Concurrent-To"], d["WARC-Target-URI"], d["WARC-Date"], d["Content-Type"], d["WARC-Source-Payload-Digest"], d["WARC-Block-Digest"], len(block), block.decode("utf-8", "replace"), gzip.compress(record(headers, block), 6, mtime=0) if whole else None)
-                for k, v in zip(out, row, strict=True):
+                for k, v in zip(names, (p, *_row(headers, block, whole)), strict=True):
                     out[k].append(v)
         yield out
 
-    fields = "page_id long, kind string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, source_digest string, block_digest string, n_bytes long, content string, record binary"
-    return map_rows(pages.select(F.col(page_id).cast("long"), url, page), run, fields)
+    return map_rows(pages.select(F.col(page_id).cast("long"), url, page), run, f"page_id long, {_FIELDS}")
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
@@ -211,11 +327,6 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     return records.select("record").mapInArrow(run, "file string, records long")
 
 
-def read(path: str) -> list[tuple[list[tuple[str, str]], bytes]]:
-    with open(path, "rb") as f:
-        return parse(gzip.GzipFile(fileobj=io.BytesIO(f.read())).read())
-
-
 def op8(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
