@@ -29,6 +29,8 @@ def _fold_table() -> bytes:
     return bytes(table)
 
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of a Bloom filter that keeps most other rows out of a shuffle: for a key, and at most.
 FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 26
 
@@ -104,8 +106,16 @@ def among(h: Column, keys: DataFrame) -> Column:
     return Column(own.column(sql.catalyst.expressions.BloomFilterMightContain(own.expression(bloom._jc), own.expression(h._jc))))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most, whatever the session's own number: a row may be a long text, and a batch
+    is held several times on its way to Python."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow with a function from one RecordBatch, of `rows` rows at most, to any number of column dicts."""
+    small_batches(df.sparkSession)
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -128,27 +138,38 @@ def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        held = None
+        held, last, out = [], None, {f.name: [] for f in target}  # batches of the group that is being read, its key, results
+
+        def done():
+            for name, values in fn(pa.concat_tables(held).combine_chunks() if len(held) > 1 else held[0]).items():
+                out[name] += values
+
+        def packed():
+            batch = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            for values in out.values():
+                values.clear()
+            return batch
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if not len(held):
+            if not len(t):
                 continue
-            k = [held[c].to_numpy() for c in keys]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
-            if len(cuts):
-                yield from ready(held.slice(0, cuts[-1]), [0, *cuts.tolist()])
-                held = held.slice(cuts[-1])
-        if held is not None and len(held):
-            yield from ready(held, [0, len(held)])
-
-    def ready(t, cuts):
-        out = {f.name: [] for f in target}
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            for name, values in fn(t.slice(a, b - a)).items():
-                out[name] += values
-        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-
+            k = [t[c].to_numpy() for c in keys]
+            cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1).tolist(), len(t)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(x[a] for x in k)
+                if held and now != last:
+                    done()
+                    held = []
+                held.append(t.slice(a, b - a))
+                last = now
+            if out[target.names[0]]:
+                yield packed()
+        if held:
+            done()
+            yield packed()
+
+    small_batches(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
