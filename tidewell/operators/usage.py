@@ -11,6 +11,10 @@ from ..functions.scalars import epoch_text, rounded_cost
 from ..functions.schemas import RATES, TOKENS
 
 
+#: Patterns of a price list up to which it becomes an expression.
+FEW_PRICES = 200
+
+
 def latest_by_uuid(lines: DataFrame, *order: Column, key: str = "uuid") -> DataFrame:
     """Last write wins: of the rows of a uuid, the one that `order` puts last. Spark keeps one row a group on the map side."""
     last = Window.partitionBy(key).orderBy(*[c.desc_nulls_last() for c in order])
@@ -23,22 +27,40 @@ def winner_per_message(events: DataFrame) -> DataFrame:
     return events.withColumn("rn_", F.row_number().over(best)).where("rn_ = 1").drop("rn_")
 
 
-def costed(events: DataFrame, pricing: DataFrame, models: DataFrame | None = None) -> DataFrame:
+def costed(events: DataFrame, pricing: DataFrame) -> DataFrame:
     """Adds c12, the cost in 1e-12 USD: rates of the longest pattern that the model starts with, ignoring case; none, 0.
+    Patterns of one length go by their text.
 
-    Only distinct models meet the price list; both are small dimensions, and the rates come back by an equi-join that
-    Catalyst broadcasts once it has seen their size. Patterns of one length go by their text.
+    A price list of at most FEW_PRICES patterns becomes an expression: no join, and no second reading of the events. A
+    longer one meets the distinct models, and its rates come back by an equi-join.
     """
-    models = events.select(F.col("model").alias("priced")).distinct()
-    match = F.expr("priced ILIKE concat(pattern, '%') ESCAPE '\u0001'")
-    best = models.join(F.broadcast(pricing), match).groupBy("priced").agg(F.max_by(F.struct(*RATES), F.struct(F.length("pattern"), F.col("pattern"))).alias("r"))
+    prices = pricing.select("pattern", *RATES).limit(FEW_PRICES + 1).collect()
+    if len(prices) <= FEW_PRICES:
+        one = lambda p: F.struct(*[F.lit(p[r]).cast("long").alias(r) for r in RATES])
+        rates = F.lit(None).cast(f"struct<{','.join(f'{r}:long' for r in RATES)}>")
+        for p in sorted((p for p in prices if p["pattern"] is not None), key=lambda p: (len(p["pattern"]), p["pattern"])):
+            rates = F.when(_starts(F.col("model"), F.lit(p["pattern"])), one(p)).otherwise(rates)
+        rows = events.withColumn("r", rates)
+    else:
+        models = events.select(F.col("model").alias("priced")).distinct()
+        best = models.join(pricing, _starts(F.col("priced"), F.col("pattern"))).groupBy("priced").agg(F.max_by(F.struct(*RATES), F.struct(F.length("pattern"), F.col("pattern"))).alias("r"))
+        rows = events.join(best, F.col("model") == F.col("priced"), "left").drop("priced")
     rate = lambda n: F.coalesce(F.col(f"r.{n}"), F.lit(0).cast("long"))
     rest = F.col("cache_creation_tokens") - F.col("ephemeral_5m_tokens") - F.col("ephemeral_1h_tokens")
     c12 = (
         F.col("input_tokens") * rate("rate_input") + F.col("output_tokens") * rate("rate_output") + F.col("cache_read_tokens") * rate("rate_cache_read")
         + (F.col("ephemeral_5m_tokens") + rest) * rate("rate_cache_5m") + F.col("ephemeral_1h_tokens") * rate("rate_cache_1h")
     )
-    return events.join(best, F.col("model") == F.col("priced"), "left").withColumn("c12", c12).drop("priced", "r")
+    return rows.withColumn("c12", c12).drop("r")
+
+
+def _starts(model: Column, pattern: Column) -> Column:
+    return F.lower(model).startswith(F.lower(pattern))
+
+
+def total_cost() -> Column:
+    """Sum of c12, of a group of any size: beyond 9.2 million USD it doesn't fit a long."""
+    return F.sum(F.col("c12").cast("decimal(38,0)"))
 
 
 @dataclass(frozen=True)
@@ -55,7 +77,7 @@ def measure(name: str) -> Column:
     total = lambda c: F.sum(c).cast("long")
     known = {
         "events": F.count("*"), "sessions": F.count_distinct("session_id"), "models_used": F.count_distinct("model"),
-        "cost_usd": rounded_cost(F.sum("c12")), "first_used": F.min("date"), "last_used": F.max("date"), "week_start": F.min("date"), "week_end": F.max("date"),
+        "cost_usd": rounded_cost(total_cost()), "first_used": F.min("date"), "last_used": F.max("date"), "week_start": F.min("date"), "week_end": F.max("date"),
         "first_activity": F.min("ts_iso"), "last_activity": F.max("ts_iso"), "started": F.min("ts_iso"), "ended": F.max("ts_iso"), "project": F.max("project"),
         "models": F.array_join(F.array_sort(F.collect_set("model")), ","),
         "duration_min": F.round((F.max("ts_epoch") - F.min("ts_epoch")) / F.lit(60.0), 1), "messages": F.count("*"),
@@ -111,7 +133,7 @@ def stats(events: DataFrame) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
     return events.agg(
         F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("model").alias("models"), F.count_distinct("project").alias("projects"),
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), *[total(c) for c in (*TOKENS, "total_tokens")], rounded_cost(F.coalesce(F.sum("c12"), F.lit(0))).alias("cost_usd"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), *[total(c) for c in (*TOKENS, "total_tokens")], rounded_cost(F.coalesce(total_cost(), F.lit(0))).alias("cost_usd"),
     )
 
 
@@ -121,14 +143,16 @@ def stats_raw(events: DataFrame) -> DataFrame:
 
 def reconcile(rows: DataFrame) -> DataFrame:
     """Each view's grand total against the total of the rows: view, total_tokens, delta. By project, '' is added back.
-    The rows are kept (memory, then disk) while the views are summed."""
-    rows = rows.persist()
-    grand = rows.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("long").alias("grand"))
-    parts = None
-    for name in VIEWS:
-        df = view(name, rows).select("total_tokens")
-        if name == "by_project":
-            df = df.unionByName(rows.where("project IS NULL OR project = ''").select("total_tokens"))
-        one = df.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("long").alias("total_tokens")).select(F.lit(name).alias("view"), "total_tokens")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.crossJoin(F.broadcast(grand)).select("view", "total_tokens", (F.col("total_tokens") - F.col("grand")).alias("delta"))  # one row
+
+    One pass: the views' keys are grouping sets, whose sums are added up by view."""
+    keys = list(dict.fromkeys(k for v in VIEWS.values() for k in v.keys))
+    sets = [[F.col(k) for k in keys_] for keys_ in dict.fromkeys(v.keys for v in VIEWS.values())]
+    grouped = rows.select(*keys, "total_tokens").groupingSets([*sets, []], *keys).agg(F.grouping_id().alias("id"), F.sum("total_tokens").alias("total"))
+    bit = {k: 1 << (len(keys) - 1 - i) for i, k in enumerate(keys)}
+    ids = {name: sum(bit.values()) - sum(bit[k] for k in v.keys) for name, v in VIEWS.items()}
+    sums = grouped.groupBy("id").agg(F.sum("total").alias("total"))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("view"), F.lit(i).cast("long").alias("of")) for name, i in ids.items()])).alias("v")
+    grand = sums.where(F.col("id") == sum(bit.values())).select(F.coalesce("total", F.lit(0)).cast("long").alias("grand"))
+    views = grand.select("grand", named).select("grand", "v.view", "v.of")  # one row for each view
+    out = views.join(sums, F.col("of") == F.col("id"), "left")
+    return out.select("view", F.coalesce("total", F.lit(0)).cast("long").alias("total_tokens"), (F.coalesce("total", F.lit(0)).cast("long") - F.col("grand")).alias("delta"))

@@ -49,7 +49,7 @@ def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = U.costed(winners(spark, sf_dir), spark.createDataFrame(PRICES, PRICING), usage(spark, sf_dir))
+    rows = U.costed(winners(spark, sf_dir), spark.createDataFrame(PRICES, PRICING))
     return rows.withColumn("hour_bucket", hour_bucket(F.col("ts_iso"))).withColumn("week", week_label(as_date(F.col("date")))).withColumn("block", F.floor(F.col("ts_epoch") / 18000))
 
 
@@ -132,26 +132,33 @@ history AS (
   FROM lines WHERE role = 'user'
 )"""
 
-_SQL_MEASURES = {
-    "events": "count(*)", "messages": "count(*)", "sessions": "count(DISTINCT session_id)", "models_used": "count(DISTINCT model)", "cost_usd": _COST,
-    "first_used": "min(date)", "last_used": "max(date)", "week_start": "min(date)", "week_end": "max(date)", "first_activity": "min(ts_iso)", "last_activity": "max(ts_iso)",
-    "started": "min(ts_iso)", "ended": "max(ts_iso)", "project": "max(project)", "models": "string_agg(DISTINCT model, ',' ORDER BY model)",
-    "duration_min": "CAST(floor((max(ts_epoch) - min(ts_epoch)) / 6.0 + 0.5) AS DOUBLE) / 10",
+_T4 = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"))
+_TT = "CAST(sum(total_tokens) AS BIGINT) AS total_tokens"
+_ALL = f"count(*) AS events, count(DISTINCT session_id) AS sessions, {_T4}, {_TT}, {_COST} AS cost_usd"
+_MODEL = f"count(*) AS events, {_T4}, {_TT}, {_COST} AS cost_usd"
+_BLOCK_TEXT = "strftime(make_timestamp(({}) * 1000000), '%Y-%m-%d %H:%M:%S')"
+#: Each view written out, apart from the engine's own table of views.
+VIEW_SQL = {
+    "daily": f"SELECT date, {_ALL} FROM costed GROUP BY date",
+    "monthly": f"SELECT month, {_ALL} FROM costed GROUP BY month",
+    "by_model": f"SELECT model, count(*) AS events, count(DISTINCT session_id) AS sessions, min(date) AS first_used, max(date) AS last_used, {_T4}, {_TT}, {_COST} AS cost_usd FROM costed GROUP BY model",
+    "daily_by_model": f"SELECT date, model, count(*) AS events, {_TT}, {_COST} AS cost_usd FROM costed GROUP BY date, model",
+    "by_session": f"SELECT session_id, min(ts_iso) AS first_activity, max(ts_iso) AS last_activity, count(*) AS events, count(DISTINCT model) AS models_used, max(project) AS project, {_TT}, {_COST} AS cost_usd FROM costed GROUP BY session_id",
+    "by_project": f"SELECT project, count(*) AS events, count(DISTINCT session_id) AS sessions, {_TT}, {_COST} AS cost_usd FROM costed WHERE project IS NOT NULL AND project <> '' GROUP BY project",
+    "hour_of_day": f"SELECT hour, count(*) AS events, {_TT} FROM costed GROUP BY hour",
+    "hourly_ts": f"SELECT hour_bucket, {_ALL} FROM costed GROUP BY hour_bucket",
+    "hourly_ts_by_model": f"SELECT hour_bucket, model, {_MODEL} FROM costed GROUP BY hour_bucket, model",
+    "weekly": f"SELECT week, min(date) AS week_start, max(date) AS week_end, {_ALL} FROM costed GROUP BY week",
+    "weekly_by_model": f"SELECT week, model, {_MODEL} FROM costed GROUP BY week, model",
+    "monthly_by_model": f"SELECT month, model, {_MODEL} FROM costed GROUP BY month, model",
+    "sessions_timeline": f"SELECT session_id, min(ts_iso) AS started, max(ts_iso) AS ended, CAST(floor((max(ts_epoch) - min(ts_epoch)) / 6.0 + 0.5) AS DOUBLE) / 10 AS duration_min, max(project) AS project, count(*) AS events, string_agg(DISTINCT model, ',' ORDER BY model) AS models, {_TT}, {_COST} AS cost_usd FROM costed GROUP BY session_id",
+    "blocks_5h": f"SELECT {_BLOCK_TEXT.format('block * 18000')} AS block_start, {_BLOCK_TEXT.format('block * 18000 + 18000')} AS block_end, count(*) AS events, count(DISTINCT session_id) AS sessions, {_TT}, {_COST} AS cost_usd FROM costed GROUP BY block",
+    "usage_rollup": f"SELECT session_id, date, model, count(*) AS messages, {_T4}, CAST(sum(ephemeral_5m_tokens) AS BIGINT) AS ephemeral_5m_tokens, CAST(sum(ephemeral_1h_tokens) AS BIGINT) AS ephemeral_1h_tokens, {_TT} FROM costed GROUP BY session_id, date, model",
 }
 
 
-def _view_sql(name: str) -> str:
-    v = U.VIEWS[name]
-    wanted = ", ".join(f"{_SQL_MEASURES.get(m, f'CAST(sum({m}) AS BIGINT)')} AS {m}" for m in v.wanted)
-    keys = ", ".join(v.keys)
-    if name == "blocks_5h":
-        text = lambda x: f"strftime(make_timestamp(({x}) * 1000000), '%Y-%m-%d %H:%M:%S')"
-        return f"SELECT {text('block * 18000')} AS block_start, {text('block * 18000 + 18000')} AS block_end, {wanted} FROM costed GROUP BY block"
-    return f"SELECT {keys}, {wanted} FROM costed {f'WHERE {v.where}' if v.where else ''} GROUP BY {keys}"
-
-
 for _name in U.VIEWS:
-    query(_name, f"WITH {_USAGE}\n{_view_sql(_name)}")(lambda s, d, n=_name: U.view(n, costed(s, d)))
+    query(_name, f"WITH {_USAGE}\n{VIEW_SQL[_name]}")(lambda s, d, n=_name: U.view(n, costed(s, d)))
 
 # ---------------------------------------------------------------- usage
 
@@ -193,26 +200,37 @@ def _stats_raw(s, d):
 
 
 for _name, _of, _n, _by in (("hourly_last_48", "hourly_ts", 48, ("hour_bucket",)), ("daily_last_30", "daily", 30, ("date",)), ("sessions_last_40", "sessions_timeline", 40, ("started", "session_id"))):
-    query(_name, f"WITH {_USAGE}, v AS ({_view_sql(_of)}) SELECT * FROM v ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _by)} LIMIT {_n}")(lambda s, d, o=_of, n=_n, b=_by: U.last_n(U.view(o, costed(s, d)), n, *b))
+    query(_name, f"WITH {_USAGE}, v AS ({VIEW_SQL[_of]}) SELECT * FROM v ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _by)} LIMIT {_n}")(lambda s, d, o=_of, n=_n, b=_by: U.last_n(U.view(o, costed(s, d)), n, *b))
+
 
+_NO_PROJECT = "+ (SELECT coalesce(sum(total_tokens), 0) FROM costed WHERE project IS NULL OR project = '')"
+_SUMS = " UNION ALL ".join(f"SELECT '{n}' AS view, coalesce(sum(total_tokens), 0) {_NO_PROJECT if n == 'by_project' else ''} AS t FROM ({q})" for n, q in VIEW_SQL.items())
 
-@query("reconcile", f"WITH {_USAGE}, g AS (SELECT CAST(sum(total_tokens) AS BIGINT) AS t FROM dedup) SELECT unnest({list(U.VIEWS)!r}) AS view, t AS total_tokens, CAST(0 AS BIGINT) AS delta FROM g")
+
+@query("reconcile", f"WITH {_USAGE}, s AS ({_SUMS}), g AS (SELECT sum(total_tokens) AS g FROM dedup) SELECT view, CAST(t AS BIGINT) AS total_tokens, CAST(t - g AS BIGINT) AS delta FROM s, g")
 def _reconcile(s, d):
     return U.reconcile(costed(s, d))
 
 
+@query("cost_of_large_groups", f"""WITH {_USAGE}, big AS (SELECT model, CAST(c12 AS HUGEINT) * 10000 AS c12 FROM costed) SELECT model, {_COST} AS cost_usd FROM big GROUP BY model""")
+def _large_cost(s, d):
+    """Groups that cost more than a long of 1e-12 USD can say."""
+    c = costed(s, d).select("model", (F.col("c12") * 10000).alias("c12"))
+    return c.groupBy("model").agg(U.measure("cost_usd"))
+
+
 @query("cache_ratio_daily", f"WITH {_USAGE} SELECT date, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST((1000 * sum(cache_read_tokens)) // nullif(sum(total_tokens), 0) AS BIGINT) AS per_mille FROM costed GROUP BY date")
 def _cache_ratio(s, d):
     v = U.view("daily", costed(s, d))
     return v.select("date", "cache_read_tokens", F.expr("try_divide(1000 * cache_read_tokens - (1000 * cache_read_tokens) % total_tokens, total_tokens)").cast("long").alias("per_mille"))
 
 
-@query("top_sessions_by_cost", f"WITH {_USAGE}, v AS ({_view_sql('by_session')}) SELECT session_id, cost_usd, total_tokens FROM v ORDER BY cost_usd DESC, session_id LIMIT 10")
+@query("top_sessions_by_cost", f"WITH {_USAGE}, v AS ({VIEW_SQL['by_session']}) SELECT session_id, cost_usd, total_tokens FROM v ORDER BY cost_usd DESC, session_id LIMIT 10")
 def _top_sessions(s, d):
     return U.view("by_session", costed(s, d)).select("session_id", "cost_usd", "total_tokens").orderBy(F.desc("cost_usd"), "session_id").limit(10)
 
 
-@query("model_spend_month", f"WITH {_USAGE}, v AS ({_view_sql('monthly_by_model')}) SELECT month, model, cost_usd FROM v WHERE month = (SELECT max(month) FROM costed)")
+@query("model_spend_month", f"WITH {_USAGE}, v AS ({VIEW_SQL['monthly_by_model']}) SELECT month, model, cost_usd FROM v WHERE month = (SELECT max(month) FROM costed)")
 def _model_spend(s, d):
     rows = costed(s, d)
     latest = rows.agg(F.max("month").alias("latest"))
