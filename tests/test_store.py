@@ -2,10 +2,12 @@
 
 import json
 import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions.scalars import instant
 from tidewell.operators import lines as L
 from tidewell.operators import repair as R
 from tidewell.operators import usage as U
@@ -142,8 +144,22 @@ def test_prompts_and_removal_log(spark, tmp_path):
 
 
 @pytest.mark.parametrize("text,epoch", [("2024-05-01T10:00:00Z", 1714557600), ("20240501T100000Z", 1714557600), ("2024-05-01T12:00:00+02:00", 1714557600), ("soon", None), ("", None)])
-def test_times(text, epoch):
-    assert T.when(text)[1] == epoch
+def test_times(spark, text, epoch):
+    assert spark.range(1).select(instant(F.lit(T.iso_text(text)))["ts_epoch"].alias("t")).first().t == epoch
+
+
+def test_times_as_python_reads_them(spark):
+    texts = ["2024-02-29 23:59", "2024-02-30T00:00:00Z", "2024-05-01T10:00:00.123456789-05:30", "2024-05-01T10:00:00,5+0000", "1969-12-31T23:59:59.5Z", "2024-W18-3", "2024-05-01", "2024-05-01T10", "2024-05-01T10:00:61Z", "2024-05-01T24:00:00Z", "0001-01-01T00:00:00Z", "2024-05-01T10:00:00+02:00:30", "2024-13-01T10:00:00Z", "x2024-05-01T10:00:00Z", 5, True, None, [1]]
+    rows = spark.createDataFrame([(i, T.iso_text(t)) for i, t in enumerate(texts)], "i int, t string").select("i", *[c.alias(n) for n, c in instant(F.col("t")).items()]).orderBy("i").collect()
+    for text, r in zip(texts, rows, strict=True):
+        shown = text if isinstance(text, str) else "" if not text else str(text)
+        try:
+            t = datetime.fromisoformat(shown)
+            t = t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
+            want = (t.isoformat(), int(t.timestamp()), f"{t:%Y-%m-%d}".rjust(10, "0"), f"{t:%Y-%m}".rjust(7, "0"), t.hour)
+        except ValueError:
+            want = (shown, None, "", "", None)
+        assert tuple(r[1:]) == want, text
 
 
 def test_streams_equal_batch(spark, tmp_path):

@@ -60,6 +60,34 @@ def ntz_epoch(ts: Column) -> Column:
     return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+#: ISO 8601 with date, time of day, and perhaps a fraction and a zone: what the JVM reads itself.
+ISO = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:(Z)|([+-])(\d{2}):?(\d{2}))?$"
+
+
+def clock(text: Column) -> tuple[Column, Column]:
+    """Whole seconds since 1970 and microseconds after them of an ISO 8601 text in the form of ISO, null for any other.
+    Without a zone it is UTC."""
+    get = lambda i: F.regexp_extract(text, ISO, i)
+    number = lambda i: F.coalesce(F.nullif(get(i), F.lit("")).cast("long"), F.lit(0))
+    day = F.try_to_date(get(1), "yyyy-MM-dd")
+    fits = text.rlike(ISO) & day.isNotNull() & (number(2) < 24) & (number(3) < 60) & (number(4) < 60) & (number(8) < 24) & (number(9) < 60) & (F.year(day) > 0)
+    seconds = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + number(2) * 3600 + number(3) * 60 + number(4)
+    zone = (number(8) * 3600 + number(9) * 60) * F.when(get(7) == "-", -1).otherwise(1)
+    fraction = F.coalesce(F.rpad(F.nullif(F.substring(get(5), 1, 6), F.lit("")), 6, "0").cast("long"), F.lit(0))
+    return F.when(fits, seconds - zone), F.when(fits, fraction)
+
+
+def instant(text: Column) -> dict[str, Column]:
+    """ts_iso, ts_epoch, date, month and hour of a text, in UTC; a text that is no time stays as it is, without the others."""
+    whole, rest = clock(text)
+    shown = F.translate(epoch_text(whole), " ", "T")
+    iso = F.concat(shown, F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+    return {
+        "ts_iso": F.coalesce(iso, text, F.lit("")), "ts_epoch": F.when((whole < 0) & (rest > 0), whole + 1).otherwise(whole), "date": F.coalesce(F.substring(shown, 1, 10), F.lit("")),
+        "month": F.coalesce(F.substring(shown, 1, 7), F.lit("")), "hour": F.floor(F.pmod(whole, F.lit(86400)) / 3600).cast("int"),
+    }
+
+
 def rounded_cost(units: Column) -> Column:
     """Sum of 1e-12 USD as USD to four places, half away from zero, in integers up to the last step."""
     half = F.when(units < 0, -COST_UNIT // 2).otherwise(COST_UNIT // 2)

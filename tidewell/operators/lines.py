@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def line_key(uuid: Column, raw: Column) -> Column:
     """Identity of a line: its uuid, else its bytes."""
@@ -117,45 +119,31 @@ def relink(lines: DataFrame, removed: DataFrame) -> DataFrame:
     """Parents of the lines that stay, past any removed ones: pointer jumping over the removed links, log2(n) joins.
 
     lines: rel, uuid, parent; removed: rel, uuid, parent. A chain that ends in a null gives null. A chain that runs into
-    a cycle of removed lines gives the first line that the walk meets twice; such files alone are walked in memory.
-    Returns rel, uuid, parent, relinked.
+    a cycle of removed lines gives the first line of the cycle that it meets. Returns rel, uuid, parent, relinked.
     """
     hops = removed.dropDuplicates(["rel", "uuid"]).select("rel", F.col("uuid").alias("at"), F.col("parent").alias("to"))
-    jump, ended = hops, False
-    for _ in range(max(1, removed.count()).bit_length() + 1):
-        step = jump.select(F.col("rel").alias("rel2"), F.col("at").alias("at2"), F.col("to").alias("to2"))
-        new = jump.join(step, (F.col("rel") == F.col("rel2")) & (F.col("to") == F.col("at2")), "left")
-        new = _cut(new.select("rel", "at", F.when(F.col("at2").isNotNull(), F.col("to2")).otherwise(F.col("to")).alias("to"), F.col("at2").isNotNull().alias("moved")))
-        jump, ended = new.drop("moved"), new.where("moved").isEmpty()
-        if ended:
-            break
-    ends = jump.select(F.col("rel").alias("rel_"), F.col("at").alias("at_"), F.col("to").alias("to_"))
-    if not ended:
-        circled = new.where("moved").select("rel").distinct()
-        ends = ends.join(circled.select(F.col("rel").alias("rel_")), "rel_", "left_anti").unionByName(_walked(hops.join(circled, "rel", "left_semi")))
+    ends, circling = _ends(hops)
+    if circling is not None:
+        # Jumps that never end have landed on every line of every cycle: without those lines' links all chains end there.
+        on = written(circling.select("rel", F.col("to").alias("at")).distinct(), "cycles")
+        ends = _ends(hops.join(on, ["rel", "at"], "left_anti"))[0].unionByName(on.select("rel", "at", F.col("at").alias("to")))
+    ends = ends.select(F.col("rel").alias("rel_"), F.col("at").alias("at_"), F.col("to").alias("to_"))
     out = lines.join(ends, (F.col("rel") == F.col("rel_")) & (F.col("parent") == F.col("at_")), "left")
     return out.select("rel", "uuid", F.when(F.col("at_").isNotNull(), F.col("to_")).otherwise(F.col("parent")).alias("parent"), F.col("at_").isNotNull().alias("relinked"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the checkpoint folder, where the session has one."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
-
-
-def _walked(hops: DataFrame) -> DataFrame:
-    import pandas as pd
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(t["at"], t["to"].astype(object).where(t["to"].notna(), None), strict=True))
-
-        def end(at):
-            seen = set()
-            while at in parent and at not in seen:
-                seen.add(at)
-                at = parent[at]
-            return at
-
-        return pd.DataFrame({"rel_": t["rel"], "at_": t["at"], "to_": [end(x) for x in t["at"]]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in hops.schema}
-    return hops.groupBy("rel").applyInPandas(run, f"rel_ {kinds['rel']}, at_ {kinds['at']}, to_ {kinds['to']}")
+def _ends(hops: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Each link doubled until it leads out of the links: (links, those that still move). Every round but one that only
+    cycles are left in ends at least one link's walk, so that a round that ends none is the last."""
+    jump, before = hops, None
+    while True:
+        step = jump.select(F.col("rel").alias("rel2"), F.col("at").alias("at2"), F.col("to").alias("to2"))
+        new = jump.join(step, (F.col("rel") == F.col("rel2")) & (F.col("to") == F.col("at2")), "left")
+        moved = F.col("at2").isNotNull()
+        new = written(new.select("rel", "at", F.when(moved, F.col("to2")).otherwise(F.col("to")).alias("to"), moved.alias("moved")), "links")
+        jump, moving = new.drop("moved"), new.where("moved").count()
+        if not moving:
+            return jump, None
+        if moving == before:
+            return jump, new.where("moved")
+        before = moving
