@@ -439,3 +439,91 @@ def _parse(s, d):
     line = F.to_json(F.struct(F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("uuid"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sessionId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), message.alias("message")))
     lines = table(s, d, "events").select(F.lit("events").alias("source"), F.col("event_id").alias("line_no"), line.cast("binary").alias("raw"))
     return usage_rows(lines).where("NOT bad").select("uuid", "session_id", "model", "input_tokens", "total_tokens", "date", "ts_epoch")
+
+
+# ---------------------------------------------------------------- transcript lines
+
+_T0 = 1_700_000_000
+
+
+def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`conversations` as transcript lines: rel, line_no, raw. Every fifth line is plain text, some of those with a carriage
+    return; of the others every eleventh has no time, every third has a folder, every fourth turn is nothing but an
+    empty thinking block, and every sixth has one beside its text."""
+    c = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    empty, spoken = F.struct(F.lit("thinking").alias("type"), F.lit(" ").alias("thinking"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("thinking"), F.col("text"))
+    blocks = F.when(F.col("turn") % 4 == 1, F.array(empty)).when(F.col("turn") % 6 == 2, F.array(empty, spoken)).otherwise(F.array(spoken))
+    at = F.date_format(F.timestamp_seconds(F.lit(_T0) + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entry = F.struct(
+        F.col("role").alias("type"), name(F.col("turn")).alias("uuid"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("parentUuid"), F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId"),
+        F.when(F.col("turn") % 11 != 0, at).alias("timestamp"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("/w/"), (F.col("conv_id") % 4).cast("string"))).alias("cwd"), F.struct(blocks.alias("content")).alias("message"),
+    )
+    plain = F.concat(F.lit("plain "), F.col("conv_id").cast("string"), F.lit(" "), F.col("turn").cast("string"), F.when(F.col("turn") % 10 == 5, "\r").otherwise(""))
+    raw = F.when(F.col("turn") % 5 == 0, plain).otherwise(F.to_json(entry)).cast("binary")
+    return c.select(F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("rel"), F.col("turn").cast("long").alias("line_no"), raw.alias("raw"))
+
+
+_REL = "'f' || (conv_id % 7) || '/' || conv_id || '.jsonl'"
+_TRANSCRIPT = f"t AS (SELECT {_REL} AS rel, conv_id, turn, role, text, turn % 5 = 0 AS plain, turn % 4 = 1 AS nothing, 'u' || conv_id || '-' || turn AS uuid, CASE WHEN turn > 0 THEN 'u' || conv_id || '-' || (turn - 1) END AS parent FROM conversations)"
+
+
+@query("lines_keyed", f"WITH {_TRANSCRIPT} SELECT rel, turn AS line_no, CASE WHEN plain THEN 'r:' || hex('plain ' || conv_id || ' ' || turn) ELSE 'u:' || uuid END AS key FROM t")
+def _keyed(s, d):
+    from ..sources.transcripts import keyed
+
+    return keyed(transcript(s, d)).select("rel", "line_no", "key")
+
+
+@query("lines_prompts", f"""WITH {_TRANSCRIPT}, w AS (
+  SELECT *, coalesce(first_value(CASE WHEN NOT plain AND turn % 3 = 0 THEN '/w/' || (conv_id % 4) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'f' || (conv_id % 7)) AS project FROM t
+) SELECT CAST(conv_id AS VARCHAR) AS session, turn AS line_no, substr(trim(text), 1, 500) AS display, CASE WHEN turn % 11 = 0 THEN 5000 ELSE ({_T0} + conv_id * 3600 + turn * 60) * 1000 END AS timestamp, project
+FROM w WHERE role = 'user' AND NOT plain AND NOT nothing AND length(trim(text)) > 2""")
+def _lines_prompts(s, d):
+    from ..sources.transcripts import prompt_rows
+
+    return prompt_rows(transcript(s, d), 5000)
+
+
+@query("lines_removal_keys", f"""WITH {_TRANSCRIPT}
+SELECT 'uuid' AS kind, rel, 'u:' || uuid AS value FROM t WHERE NOT plain AND turn % 3 = 1
+UNION ALL SELECT 'record', rel, 'r:' || hex('plain ' || conv_id || ' ' || turn) FROM t WHERE plain
+UNION ALL SELECT 'record', rel, 'r:' || hex(json_object('uuid', uuid)) FROM t WHERE NOT plain AND turn % 3 = 1
+UNION ALL SELECT 'unreadable', NULL, 'u:' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || '-0000-4000-8000-' || lpad(CAST(turn AS VARCHAR), 12, '0') FROM t WHERE NOT plain AND turn % 3 = 2""")
+def _lines_removal_keys(s, d):
+    """Records of whole lines, of lines with a uuid, and torn records that still hold one."""
+    from ..sources.transcripts import removal_keys
+
+    c = table(s, d, "conversations").withColumn("rel", F.concat(F.lit("f"), (F.col("conv_id") % 7).cast("string"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".jsonl")))
+    ids = [F.col(x).cast("string") for x in ("conv_id", "turn")]
+    content = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("plain "), ids[0], F.lit(" "), ids[1])).otherwise(F.to_json(F.struct(F.concat(F.lit("u"), ids[0], F.lit("-"), ids[1]).alias("uuid"))))
+    record = F.to_json(F.struct(F.col("rel").alias("source_file"), content.alias("content")))
+    torn = F.concat(F.lit('{"content": "{\\"uuid\\": \\"'), F.lpad(ids[0], 8, "0"), F.lit("-0000-4000-8000-"), F.lpad(ids[1], 12, "0"))
+    rows = c.where("turn % 5 = 0 OR turn % 3 > 0")
+    return removal_keys(rows.select(F.when((F.col("turn") % 5 != 0) & (F.col("turn") % 3 == 2), torn).otherwise(record).alias("value")))
+
+
+@query("lines_clean", f"""WITH {_TRANSCRIPT}, k AS (SELECT rel, turn AS line_no, CASE turn % 7 WHEN 1 THEN 'blank' WHEN 2 THEN 'control' WHEN 3 THEN 'unparseable' WHEN 4 THEN 'repaired' WHEN 5 THEN 'copy' ELSE 'valid' END AS kind FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY rel, kind = 'copy' ORDER BY line_no) AS nth FROM k)
+SELECT rel, line_no, CASE WHEN kind = 'copy' THEN CASE WHEN nth > 1 THEN 'duplicate' ELSE 'valid' END ELSE kind END AS fate FROM n""")
+def _lines_clean(s, d):
+    """Lines that are blank, control characters, no JSON, JSON without its end, copies of each other, or sound."""
+    from ..operators.repair import clean
+
+    kind = F.col("line_no") % 7
+    good = F.concat(F.lit('{"n": '), F.col("line_no").cast("string"), F.lit("}"))
+    bad = F.when(kind == 1, "  ").when(kind == 2, "\x07\x00").when(kind == 3, F.concat(F.lit("no json "), good)).when(kind == 4, F.expr("concat('{\"n\": ', line_no)")).when(kind == 5, '{"same": true}').otherwise(good)
+    return clean(transcript(s, d).select("rel", "line_no", bad.cast("binary").alias("raw"))).select("rel", "line_no", "fate")
+
+
+@query("lines_without_empty_blocks", f"""WITH RECURSIVE {_TRANSCRIPT}, j AS (SELECT * FROM t WHERE NOT plain), walk AS (
+  SELECT rel, uuid, parent, parent AS first FROM j WHERE NOT nothing
+  UNION ALL SELECT w.rel, w.uuid, g.parent, w.first FROM walk w JOIN j g ON g.rel = w.rel AND g.uuid = w.parent AND g.nothing
+), ends AS (SELECT w.* FROM walk w LEFT JOIN j g ON g.rel = w.rel AND g.uuid = w.parent AND g.nothing WHERE g.uuid IS NULL)
+SELECT t.rel, t.turn AS line_no, CASE WHEN t.plain THEN 'kept' WHEN t.nothing THEN 'dropped' WHEN t.turn % 6 = 2 THEN 'edited' WHEN e.parent IS DISTINCT FROM e.first THEN 'relinked' ELSE 'kept' END AS action,
+  CASE WHEN NOT t.plain AND (t.nothing OR t.turn % 6 = 2) THEN 1 ELSE 0 END AS blocks, CASE WHEN NOT t.plain THEN CASE WHEN t.nothing THEN t.parent ELSE e.parent END END AS parent
+FROM t LEFT JOIN ends e ON e.rel = t.rel AND e.uuid = t.uuid""")
+def _lines_blocks(s, d):
+    from ..operators.repair import drop_empty_blocks
+
+    return drop_empty_blocks(transcript(s, d)).select("rel", "line_no", "action", "blocks", F.get_json_object(F.col("raw").cast("string"), "$.parentUuid").alias("parent"))
