@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import jaccard_join, kdtree, queries, suffix_dedup, warc
+from tidewell.llm import jaccard_join, kdtree, queries, suffix_dedup, suffix_sort, warc
 from tidewell.llm.graph import components
 
 from .conftest import ODD
@@ -122,16 +123,40 @@ def test_components(spark):
 # ---------------------------------------------------------------- suffix arrays
 
 
-def test_suffix_array(tmp_path, monkeypatch):
+@pytest.mark.parametrize("held,solo", [(16, 1), (64, 3), (4096, 2048), (2_000_000, 2048)])
+def test_suffixes(tmp_path, monkeypatch, held, solo):
+    """Orders with queues on disk or not, and characters swept alone or many at a time."""
+    monkeypatch.setattr(suffix_sort, "SOLO", solo)
     rng = np.random.default_rng(3)
-    for k in range(120):
-        monkeypatch.setattr(suffix_dedup, "QUEUE", 8 if k % 2 else 1 << 20)  # queues on disk, or not
-        t = rng.integers(1, 2 + k % 6, rng.integers(1, 150))
+    for k in range(60):
+        t = rng.integers(1, 2 + k % 7 if k % 2 else 60, rng.integers(1, 150))
         t = np.append(np.repeat(t, 6) if k % 5 == 0 else np.tile(t, 3) if k % 5 == 1 else t, 0)
-        assert suffix_dedup.suffix_array(t, str(tmp_path)).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert np.concatenate(list(suffix_sort.suffixes(t, str(tmp_path), held))).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
     assert not list(tmp_path.iterdir())
 
 
+def test_suffixes_larger_than_memory(tmp_path):
+    """A text is sorted in less than a tenth of the memory that it and its order take, long copies and a large alphabet
+    included."""
+    rng = np.random.default_rng(4)
+    t = np.concatenate([rng.integers(1, 60_000, 4_500_000), np.tile(rng.integers(1, 200, 300_000), 5), [0]]).astype(np.uint32)
+    t.tofile(tmp_path / "text")
+    t = np.memmap(tmp_path / "text", np.uint32, "r")
+    tracemalloc.start()
+    n, last = 0, None
+    for rows in suffix_sort.suffixes(t, str(tmp_path), 60_000):
+        both = np.append(last, rows) if last is not None else rows
+        a, b = both[:-1], both[1:]
+        for _ in range(3):  # in order by the first characters
+            x, y = t[a], t[b]
+            assert (x <= y).all()
+            a, b = a[x == y] + 1, b[x == y] + 1
+        n, last = n + len(rows), rows[-1:].copy()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(t) and peak * 10 <= t.nbytes + 8 * n, peak
+
+
 def brute_repeats(data, n=50):
     out = Counter()
     for i, t in data:
@@ -149,9 +174,11 @@ def brute_repeats(data, n=50):
     return out
 
 
-@pytest.mark.parametrize("pieces", [16, 256])
-def test_remove_repeats(docs, monkeypatch, pieces):
+@pytest.mark.parametrize("pieces,held", [(16, 2_000_000), (256, 64)])
+def test_remove_repeats(docs, monkeypatch, pieces, held):
     monkeypatch.setattr(suffix_dedup, "PIECE", pieces)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "WAITING", 3)
     rng = random.Random(8)
     text = lambda n: "".join(rng.choices("abc é", k=n))
     shared = [text(n) for n in (49, 50, 51, 90, 300, 1200)]

@@ -1,5 +1,4 @@
-"""Removal of byte strings that an earlier document holds, exact to the byte, with suffix arrays by external induced
-sorting.
+"""Removal of byte strings that an earlier document holds, exact to the byte, with suffixes sorted by external induction.
 
 A byte goes if it is covered by a string of LENGTH bytes that also starts in a document with a smaller id. What has to
 be suffix-sorted is first cut down, without losing a match:
@@ -9,14 +8,13 @@ be suffix-sorted is first cut down, without losing a match:
    piece of its own, so the pieces that are left still hold every match.
 2. In the pieces that are left, each string of LENGTH bytes has an anchor: the GRAM bytes in it whose hash is least.
    Equal strings have equal anchors, so only strings whose anchor two documents have in such pieces can match.
-3. Strings around such anchors are dealt to shards by anchor. A shard sorts all suffixes of its strings; neighbours that
-   share LENGTH bytes or more are one string, and all its documents but the smallest are covered there.
+3. Strings around such anchors are dealt to shards by anchor, and stream in sorted by anchor and hash: equal strings come
+   one after the other, and all but the first are covered. A shard's suffixes are then sorted on disk (`suffix_sort`);
+   neighbours that share LENGTH bytes are one string, and all its documents but the smallest are covered there.
 
-The sorter (`suffix_array`) is induced: suffix types, LMS substrings named and sorted by a recursion, then two sweeps
-over the alphabet in which each sorted suffix hands its predecessor to the queue of the predecessor's first character.
-Queues are read in the order they were filled, first character first, so they're a priority queue by (first character,
-rank); beyond a bound they're on disk, as is the text. Common prefixes of neighbours are carried from level to level as
-lengths of names and settled on the text.
+No step holds a shard in memory: its text, what is known of its strings, the sorter's queues and orders, and the groups
+of equal strings are files, read in chunks. Covered runs are sorted arrays in the shared folder that tasks look up, so
+that no text is shuffled to meet them.
 
 Defined results: a null text is empty; matches never cross documents; rows that repeat a doc_id are judged one by one and
 don't cover each other; a null doc_id covers nothing and isn't covered; an empty table gives no rows; other columns
@@ -29,191 +27,34 @@ import hashlib
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, map_rows, shared_path, stored, utf8
+from .common import by_group, map_rows, shared_path, small_batches, stored, utf8
+from .suffix_sort import HELD, Queues, read, suffixes
 
 #: Bytes of a match; of an anchor; mean bytes of a piece (a power of two); of the window that decides a cut.
 LENGTH, GRAM, PIECE, CUT = 50, 20, 256, 16
-#: Entries that the sorter's queues hold in memory.
-QUEUE = 8_000_000
 #: Characters of input for one shard: shards grow in number with the input.
 SHARD_CHARS = 8_000_000
-#: Shards of strings for each shard of anchors; documents whose strings a task holds before it sends them on.
-SPLIT, SLICE = 8, 1_000
-#: Covered runs up to which they're broadcast to the texts; more are joined by shuffling.
-BROADCAST_RUNS = 1_000_000
-
-
-# ---------------------------------------------------------------- suffix sorting
-
-
-class Spool:
-    """First-in first-out queues of positions by character, on disk once they hold more than QUEUE entries together."""
-
-    def __init__(self, folder: str):
-        self.folder, self.held, self.count, self.files = folder, {}, 0, {}
-
-    def put(self, char: int, rows: np.ndarray) -> None:
-        self.held.setdefault(char, []).append(rows)
-        self.count += len(rows)
-        if self.count > QUEUE:
-            for c, parts in self.held.items():
-                self.files.setdefault(c, os.path.join(self.folder, f"{id(self)}-{c}"))
-                with open(self.files[c], "ab") as f:
-                    for p in parts:
-                        p.astype(np.int64).tofile(f)
-            self.held, self.count = {}, 0
-
-    def take(self, char: int) -> np.ndarray:
-        parts = self.held.pop(char, [])
-        self.count -= sum(map(len, parts))
-        if char in self.files:
-            path = self.files.pop(char)
-            parts.insert(0, np.fromfile(path, np.int64))
-            os.unlink(path)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def _types(t: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the one after it. The last character is the least of all and stands alone."""
-    n = len(t)
-    s = np.empty(n, bool)
-    s[-1] = True
-    if n > 1:
-        differ = np.flatnonzero(t[:-1] != t[1:])
-        # Each place looks to the next place where two characters differ.
-        at = np.searchsorted(differ, np.arange(n - 1))
-        inner = at < len(differ)
-        s[:-1] = False
-        k = differ[at[inner]]
-        s[:-1][inner] = t[k] < t[k + 1]
-    return s
-
-
-def _deal(spool: Spool, chars: np.ndarray, rows: np.ndarray) -> None:
-    """Rows to the queues of their characters, in order."""
-    if not len(rows):
-        return
-    order = np.argsort(chars, kind="stable")
-    chars, rows = chars[order], rows[order]
-    cuts = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
-    for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
-        spool.put(int(chars[a]), rows[a:b])
-
-
-def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int, folder: str) -> np.ndarray:
-    """Suffixes in order, from LMS suffixes in order. Each bucket is swept in waves: a suffix whose predecessor has the
-    same first character puts it in the bucket's next wave."""
-    up, seeds = Spool(folder), Spool(folder)
-    _deal(seeds, t[lms], lms)
-    large: list[np.ndarray] = []
-    for c in range(sigma):
-        wave, mine = up.take(c), []
-        while len(wave):
-            mine.append(wave)
-            before = wave[wave > 0] - 1
-            ch = t[before]
-            before, ch = before[ch >= c], ch[ch >= c]
-            same = ch == c
-            _deal(up, ch[~same], before[~same])
-            wave = before[same]
-        large.append(np.concatenate(mine) if mine else np.zeros(0, np.int64))
-        seed = seeds.take(c)
-        seed = seed[seed > 0] - 1
-        _deal(up, t[seed], seed)
-    down = Spool(folder)
-    out: list[np.ndarray] = []
-    for c in range(sigma - 1, -1, -1):
-        wave, mine = down.take(c), []
-        while len(wave):
-            mine.append(wave)
-            before = wave[wave > 0] - 1
-            ch = t[before]
-            before, ch = before[ch <= c], ch[ch <= c]
-            same = ch == c
-            _deal(down, ch[~same], before[~same])
-            wave = before[same]
-        rest = large[c][::-1]
-        if c == 0:  # the closing character
-            mine.append(np.array([len(t) - 1], np.int64))
-        else:
-            before = rest[rest > 0] - 1
-            ch = t[before]
-            keep = (ch < c) & s[before]
-            _deal(down, ch[keep], before[keep])
-        out.append(np.concatenate([*mine, rest]) if mine else rest)
-        if c == 0:
-            break
-    return np.concatenate(out)[::-1]
-
-
-def suffix_array(t: np.ndarray, folder: str) -> np.ndarray:
-    """Order of the suffixes of t, whose last entry is 0 and occurs nowhere else."""
-    n, sigma = len(t), int(t.max()) + 1
-    if n == 1:
-        return np.zeros(1, np.int64)
-    s = _types(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    if len(lms) == 0:
-        return _induce(t, s, np.array([n - 1]), sigma, folder)
-    if len(lms) == 1:
-        return _induce(t, s, lms, sigma, folder)
-    # LMS substrings, sorted by one induction from their text order, then named.
-    first = _induce(t, s, lms, sigma, folder)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = first[is_lms[first]]
-    ends = np.empty(n, np.int64)
-    ends[lms[:-1]], ends[lms[-1]] = lms[1:], n - 1
-    a, b = order[:-1], order[1:]
-    size = ends[b] - b
-    same = (ends[a] - a) == size
-    live = np.flatnonzero(same)
-    k = 0
-    while len(live):
-        x, y = a[live] + k, b[live] + k
-        fail = t[x] != t[y]
-        same[live[fail]] = False
-        live = live[~fail]
-        live = live[size[live] > k]
-        k += 1
-    names = np.empty(n, np.int64)
-    names[order] = np.concatenate([[0], np.cumsum(~same)])
-    reduced = names[lms]
-    if reduced.max() + 1 == len(lms):
-        ranked = order
-    elif reduced.max() < 4096:
-        ranked = lms[suffix_array(reduced, folder)]
-    else:
-        ranked = lms[_by_names(reduced)]
-    return _induce(t, s, ranked, sigma, folder)
-
-
-def _by_names(t: np.ndarray) -> np.ndarray:
-    """The recursion's end for large alphabets: ranks of doubled length, until all differ."""
-    rank, k, n = t.astype(np.int64), 1, len(t)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        order = np.lexsort((second, rank))
-        r, q = rank[order], second[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (q[1:] != q[:-1]))])
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
-
-
-def shared(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix in order but the first: whether it shares `length` characters with the one before it."""
-    a, b = sa[:-1], sa[1:]
-    same = np.maximum(a, b) + length <= len(t)
-    live = np.flatnonzero(same)
+#: Shards of strings for each shard of anchors; documents whose strings a task holds before it sends them on; strings of
+#: one anchor that wait for a second document.
+SPLIT, SLICE, WAITING = 8, 1_000, 2_000
+
+
+# ---------------------------------------------------------------- equal strings of a shard
+
+
+def alike(t: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix but the first: whether it shares `length` characters with the one before it."""
+    a, b = rows[:-1], rows[1:]
+    same = np.ones(len(a), bool)
+    live = np.arange(len(a))
     for k in range(length - 1, -1, -1):  # from the far end, where unequal neighbours differ soonest
         fail = t[a[live] + k] != t[b[live] + k]
         same[live[fail]] = False
@@ -221,36 +62,84 @@ def shared(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     return same
 
 
-def covered_starts(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string, its starts of `length` bytes that are also in a string of a smaller document."""
-    folder = tempfile.mkdtemp(prefix="suffixes-")  # the worker's own disk: gone when the shard is done
-    try:
-        sizes = np.array([len(x) for x in texts])
-        t = np.memmap(os.path.join(folder, "text"), np.uint16, "w+", shape=(int(sizes.sum()) + len(texts) + 1,))
-        at, starts = 0, np.zeros(len(texts), np.int64)
-        for i, x in enumerate(texts):
-            starts[i] = at
-            t[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.uint16) + 2
-            t[at + len(x)] = 1
-            at += len(x) + 1
-        t[at] = 0
-        sa = suffix_array(t, folder)
-        owner = np.repeat(np.arange(len(texts)), sizes + 1)
-        sa = sa[sa < len(owner)]
-        left = (starts + sizes)[owner[sa]] - sa  # bytes to the end of the string
-        sa = sa[left >= length]
-        if not len(sa):
-            return [np.zeros(0, np.int64)] * len(texts)
-        group = np.concatenate([[0], np.cumsum(~shared(t, sa, length))])
-        doc = docs[owner[sa]]
-        first = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, group, doc)
-        hit = sa[first[group] < doc]
-        hit.sort()
-        cuts = np.searchsorted(hit, np.append(starts, at))
-        return [hit[cuts[i] : cuts[i + 1]] - starts[i] for i in range(len(texts))]
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
+class Shard:
+    """Strings of a shard in files, and the runs of their starts that a smaller document covers."""
+
+    def __init__(self, held: int):
+        self.held, self.strings, self.size = held, 0, 0
+        self.folder = tempfile.mkdtemp(prefix="suffixes-")  # the worker's own disk: gone when the shard is done
+        self.files = {k: open(os.path.join(self.folder, k), "wb") for k in ("text", "start", "size", "doc", "r1", "r2", "at")}
+
+    def add(self, text: bytes, doc: int, r1: int, r2: int, at: int) -> None:
+        """A string, its document, its row's key, and where in the row it begins."""
+        (np.frombuffer(text + b"\0", np.uint8).astype(np.uint16) + 2).tofile(self.files["text"])
+        for k, v in (("start", self.size), ("size", len(text)), ("doc", doc), ("r1", r1), ("r2", r2), ("at", at)):
+            self.files[k].write(v.to_bytes(8, "little", signed=True))
+        self.strings += 1
+        self.size += len(text) + 1
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+    def covered(self, length: int) -> Iterator[dict[str, np.ndarray]]:
+        """r1, r2, start, end of covered runs."""
+        if not self.strings:
+            return
+        self.files["text"].write(b"\0\0")
+        for f in self.files.values():
+            f.flush()
+        held = lambda k, kind: np.memmap(os.path.join(self.folder, k), kind, "r")
+        t, (start, size, doc, r1, r2, at) = held("text", np.uint16), (held(k, np.int64) for k in ("start", "size", "doc", "r1", "r2", "at"))
+        owner = lambda rows: np.searchsorted(start, rows, "right") - 1
+        chunk = max(1, self.held // 8)
+        # Suffixes in order, their groups of equal strings, and the least document of each group.
+        paths = [os.path.join(self.folder, k) for k in ("order", "group", "least")]
+        count, last, low = 0, np.zeros(0, np.int64), None
+        with open(paths[0], "wb") as order, open(paths[1], "wb") as group, open(paths[2], "wb") as least:
+            for rows in suffixes(t, self.folder, self.held):
+                rows = np.ascontiguousarray(rows)
+                rows = rows[rows < self.size]
+                of = owner(rows)
+                fits = start[of] + size[of] - rows >= length
+                rows, of = rows[fits], of[fits]
+                if not len(rows):
+                    continue
+                new = np.ones(len(rows), bool)
+                both = np.concatenate([last, rows])
+                new[len(rows) - len(both) + 1 :] = ~alike(t, both, length)
+                number = count + np.cumsum(new) - 1
+                rows.tofile(order)
+                number.tofile(group)
+                d = doc[of]
+                if low is not None and not new[0]:
+                    d = np.append(low, d)
+                    new = np.append(True, new)
+                    new[1] = False
+                elif low is not None:
+                    np.array([low]).tofile(least)
+                lows = np.minimum.reduceat(d, np.flatnonzero(new))
+                lows[:-1].tofile(least)
+                low, last, count = lows[-1], rows[-1:], int(number[-1]) + 1
+            if low is not None:
+                np.array([low]).tofile(least)
+        if not count:
+            return
+        lows = np.memmap(paths[2], np.int64, "r")
+        hits = Queues(self.folder, self.held // 8)
+        for rows, number in zip(read(paths[0], chunk), read(paths[1], chunk), strict=True):
+            rows = rows[lows[number] < doc[owner(rows)]]
+            for k in np.unique(rows // chunk):
+                hits.put(int(k), rows[rows // chunk == k])
+        for k in range(-(-self.size // chunk)):
+            rows = np.sort(hits.all(k))
+            if len(rows):
+                of = owner(rows)
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(rows) != 1) | (of[1:] != of[:-1])]))
+                end = np.append(first[1:], len(rows)) - 1
+                base = (at[of[first]] - start[of[first]])
+                yield {"r1": r1[of[first]], "r2": r2[of[first]], "start": rows[first] + base, "end": rows[end] + base + 1}
 
 
 # ---------------------------------------------------------------- hashes
@@ -332,35 +221,68 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 def cut_pieces(docs: DataFrame) -> DataFrame:
-    """row, doc, start, end and 128-bit key of each piece. docs: row, doc, text."""
+    """r1, r2, doc, start, end and 128-bit key of each piece. docs: r1, r2, doc, text."""
     import xxhash
 
     def run(batch):
-        out = {k: [] for k in ("row", "doc", "start", "end", "k1", "k2")}
-        for row, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        out = {k: [] for k in ("r1", "r2", "doc", "start", "end", "k1", "k2")}
+        for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = utf8(text)
             cuts = pieces(np.frombuffer(raw, np.uint8)).tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 key = np.frombuffer(xxhash.xxh3_128_digest(raw[a : b + LENGTH - 1]), np.int64)
-                for k, v in zip(out, (row, doc, a, b, int(key[0]), int(key[1])), strict=True):
+                for k, v in zip(out, (r1, r2, doc, a, b, int(key[0]), int(key[1])), strict=True):
                     out[k].append(v)
         yield out
 
-    return map_rows(docs, run, "row long, doc long, start int, end int, k1 long, k2 long")
+    return map_rows(docs, run, "r1 long, r2 long, doc long, start int, end int, k1 long, k2 long")
+
+
+class Runs:
+    """Covered runs by row, as sorted arrays that tasks map and look up."""
+
+    def __init__(self, runs: DataFrame, shards: int):
+        """runs: r1, r2, start, end. A row's runs are of one text, a shard's of the rows of its share of the keys."""
+        from .lm import _save
+
+        self.folder, self.shards = shared_path(runs.sparkSession, "runs"), shards
+        folder = self.folder
+
+        def add(t):
+            r1, r2, a, b = (t[c].to_numpy() for c in ("r1", "r2", "start", "end"))
+            order = np.lexsort((a, r2, r1))
+            shard = t["shard"][0].as_py()
+            _save(folder, str(shard), r1=r1[order], r2=r2[order], start=a[order].astype(np.int32), end=b[order].astype(np.int32))
+            return {"n": [len(order)]}
+
+        by_group(runs.withColumn("shard", F.pmod("r1", F.lit(shards))), ["shard"], add, "n long").agg(F.sum("n")).collect()
+
+    def of(self, r1: int, r2: int) -> np.ndarray:
+        """(start, end) of each run of a row, by start."""
+        from .lm import _store
+
+        store, shard = _store(self.folder), r1 % self.shards
+        keys = store.get(f"{shard}-r1")
+        if keys is None:
+            return np.zeros((0, 2), np.int64)
+        a, b = np.searchsorted(keys, r1, "left"), np.searchsorted(keys, r1, "right")
+        mine = slice(a, b)
+        runs = np.stack([store.get(f"{shard}-start")[mine], store.get(f"{shard}-end")[mine]], 1)
+        return runs[store.get(f"{shard}-r2")[mine] == r2]
 
 
 def open_starts(raw: bytes, runs) -> tuple[np.ndarray, np.ndarray]:
     """Anchor of each start, and whether the start lies outside the covered runs."""
     h = anchors(np.frombuffer(raw, np.uint8))
     left = np.ones(len(h), bool)
-    for r in runs or ():
-        left[r["a"] : r["b"]] = False
+    for a, b in runs:
+        left[a:b] = False
     return h, left
 
 
-def repeated_anchors(docs: DataFrame, shards: int) -> str:
+def repeated_anchors(docs: DataFrame, shards: int, runs: Runs) -> str:
     """Folder of sorted arrays, one for each shard of the hash range: anchors that two documents or more have in the
-    pieces that are left. docs: row, doc, text, runs (pieces that are covered).
+    pieces that are left. docs: r1, r2, doc, text; runs: pieces that are covered.
 
     A task packs each anchor of a batch once, with one document and whether the batch has another, so that an anchor of
     any number of documents is few rows."""
@@ -368,8 +290,8 @@ def repeated_anchors(docs: DataFrame, shards: int) -> str:
 
     def pack(batch):
         hashes, owners = [], []
-        for _, doc, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            h, left = open_starts(utf8(text), runs)
+        for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            h, left = open_starts(utf8(text), runs.of(r1, r2))
             if left.any():
                 hashes.append(np.unique(h[left]))
                 owners.append(np.full(len(hashes[-1]), doc, np.int64))
@@ -409,19 +331,20 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Strings around repeated anchors in the pieces that are left. docs: row, doc, text, runs (pieces that are covered).
+def candidates(docs: DataFrame, folder: str, shards: int, runs: Runs) -> DataFrame:
+    """Strings around repeated anchors in the pieces that are left. docs: r1, r2, doc, text; runs: pieces
+    that are covered.
 
-    Returns kind, row, doc, start, end, shard, anchor, text. Of equal strings in a slice of a batch only the smallest document's go
-    on (kind 1); those of the others are covered already (kind 0: starts from start to end)."""
+    Returns kind, r1, r2, doc, start, end, shard, anchor, hash, text. Of equal strings in a slice of a batch only the
+    smallest document's go on (kind 1); those of the others are covered already (kind 0: starts from start to end)."""
     from .lm import _store
 
     def run(batch):
-        out = {k: [] for k in ("kind", "row", "doc", "start", "end", "shard", "anchor", "text")}
+        out = {k: [] for k in ("kind", "r1", "r2", "doc", "start", "end", "shard", "anchor", "hash", "text")}
         store, found = _store(folder), {}
-        for row, doc, text, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = utf8(text)
-            h, left = open_starts(raw, runs)
+            h, left = open_starts(raw, runs.of(r1, r2))
             at = np.flatnonzero(left)
             if not len(at):
                 continue
@@ -437,95 +360,111 @@ def candidates(docs: DataFrame, folder: str, shards: int) -> DataFrame:
                     some = order[cuts[s] : cuts[s + 1]]
                     hit[some] = held[np.minimum(np.searchsorted(held, mine[some]), len(held) - 1)] == mine[some]
             for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True):
-                found.setdefault((int(h[a]), raw[a : b + LENGTH - 1]), []).append((doc, row, a, b))
+                found.setdefault((int(h[a]), raw[a : b + LENGTH - 1]), []).append((doc, r1, r2, a, b))
         for (anchor, string), places in found.items():
-            least = min(p[0] for p in places)
-            for doc, row, a, b in places:
+            least, h = min(p[0] for p in places), xxhash.xxh3_64_intdigest(string) >> 1
+            for doc, r1, r2, a, b in places:
                 first = doc == least
                 shard = (anchor >> 32) * (SPLIT * shards) >> 32
-                for k, v in zip(out, (int(first), row, doc, a, b, shard if first else None, anchor - (1 << 64) if anchor >= 1 << 63 else anchor, string if first else None), strict=True):
+                row = (int(first), r1, r2, doc, a, b, shard if first else None, anchor - (1 << 64) if anchor >= 1 << 63 else anchor, h if first else None, string if first else None)
+                for k, v in zip(out, row, strict=True):
                     out[k].append(v)
         yield out
 
-    return map_rows(docs, run, "kind int, row long, doc long, start int, end int, shard long, anchor long, text binary", rows=SLICE)
-
-
-def sort_shard(t) -> dict:
-    """Covered starts of one shard's strings: row, start, end. Equal strings of several documents are settled by lookup;
-    the smallest document's goes into the suffix array, if another document has a string with its anchor there."""
-    anchor, doc, row, start = (t[c].to_pylist() for c in ("anchor", "doc", "row", "start"))
-    text = t["text"].to_pylist()
-    least: dict[tuple[int, bytes], int] = {}
-    for k, d in zip(zip(anchor, text, strict=True), doc, strict=True):
-        if d < least.get(k, 1 << 63):
-            least[k] = d
-    out, keep = {"row": [], "start": [], "end": []}, []
-
-    def put(r, a, b):
-        out["row"].append(r)
-        out["start"].append(a)
-        out["end"].append(b)
-
-    owners: dict[int, set[int]] = {}
-    for i, (h, x, d) in enumerate(zip(anchor, text, doc, strict=True)):
-        if d > least[h, x]:
-            put(row[i], start[i], start[i] + len(x) - LENGTH + 1)
-        else:
-            keep.append(i)
-            owners.setdefault(h, set()).add(d)
-    keep = [i for i in keep if len(owners[anchor[i]]) > 1]
-    if keep:
-        for i, hit in zip(keep, covered_starts([text[i] for i in keep], np.array([doc[i] for i in keep]), LENGTH), strict=True):
-            for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1) if len(hit) else ():
-                put(row[i], start[i] + int(run[0]), start[i] + int(run[-1]) + 1)
-    return out
-
-
-def _listed(runs: DataFrame) -> DataFrame:
-    """row -> its runs of covered starts."""
-    return runs.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("runs"))
-
+    import xxhash
 
-def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Texts with their runs; the runs are broadcast if they're few."""
-    few = runs.count() <= BROADCAST_RUNS
-    listed = _listed(runs)
-    return docs.join(F.broadcast(listed) if few else listed, F.col("row") == F.col("of"), "left")
+    return map_rows(docs, run, "kind int, r1 long, r2 long, doc long, start int, end int, shard long, anchor long, hash long, text binary", rows=SLICE)
+
+
+def sorted_shards(strings: DataFrame, held: int | None = None) -> DataFrame:
+    """Covered runs of the shards' strings: r1, r2, start, end. strings: shard, anchor, hash, doc, r1, r2, start, text.
+
+    A shard streams in, by anchor, hash and document. Of equal strings the first one's document is the smallest: the
+    others are covered, but for those of the same document. An anchor's strings wait until a second document has one."""
+    target = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def packed(columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
+
+    def run(batches):
+        now, shard, first, waiting, docs = (None, None), None, (None, None), [], set()
+
+        def flushed():
+            nonlocal waiting
+            if len(docs) > 1:
+                for x in waiting:
+                    shard.add(*x)
+            waiting = []
+
+        try:
+            for batch in batches:
+                out = {f.name: [] for f in target}
+                for s, anchor, _, doc, r1, r2, at, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if (s, anchor) != now:
+                        if shard is not None:
+                            flushed()
+                        if s != now[0]:
+                            if shard is not None:
+                                yield from map(packed, shard.covered(LENGTH))
+                                shard.close()
+                            shard = Shard(held or HELD)
+                        now, first, docs = (s, anchor), (None, None), set()
+                    if text == first[0] and doc != first[1]:
+                        for k, v in zip(out, (r1, r2, at, at + len(text) - LENGTH + 1), strict=True):
+                            out[k].append(v)
+                        docs.add(doc)
+                        continue
+                    if text != first[0]:
+                        first = (text, doc)
+                    docs.add(doc)
+                    waiting.append((text, doc, r1, r2, at))
+                    if len(waiting) >= WAITING and len(docs) > 1:
+                        flushed()
+                yield packed(out)
+            if shard is not None:
+                flushed()
+                yield from map(packed, shard.covered(LENGTH))
+        finally:
+            if shard is not None:
+                shard.close()
+
+    small_batches(strings.sparkSession)
+    order = ("shard", "anchor", "hash", "doc")
+    return strings.select(*order, "r1", "r2", "start", "text").repartition("shard").sortWithinPartitions(*order).mapInArrow(run, "r1 long, r2 long, start int, end int")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, spans (maximal removed runs of bytes), kept_sha256, kept (if `whole`)."""
     every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    every = every.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("doc", F.col("doc_id").cast("long"))
-    able = every.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)).select("row", "doc", "text")
+    # A row's key of 128 bits, from its doc_id and text: rows that are equal in both are judged alike.
+    every = every.withColumn("r1", F.xxhash64("doc_id", "text")).withColumn("r2", F.xxhash64(F.lit(1), "text", "doc_id")).withColumn("doc", F.col("doc_id").cast("long"))
+    able = every.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH)).select("r1", "r2", "doc", "text")
     shards = int((able.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS) + 4
-    cut = cut_pieces(able)
+    cut = stored(cut_pieces(able), "cut")
     more = cut.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "least")
-    whole_pieces = cut.join(more, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2"))).where("least < doc")
-    settled = stored(whole_pieces.select("row", "start", "end"), "pieces")
-    rest = _with_runs(able, settled).select("row", "doc", "text", "runs")
-    rest = stored(candidates(rest, repeated_anchors(rest, shards), shards), "strings")
-    sorted_ = by_group(rest.where("kind = 1").select("shard", "anchor", "row", "doc", "start", "text"), ["shard"], sort_shard, "row long, start int, end int")
-    runs = stored(settled.unionByName(rest.where("kind = 0").select("row", "start", "end")).unionByName(sorted_), "runs")
+    settled = stored(cut.join(more, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2"))).where("least < doc").select("r1", "r2", "start", "end"), "pieces")
+    whole_pieces = Runs(settled, shards)
+    rest = stored(candidates(able, repeated_anchors(able, shards, whole_pieces), shards, whole_pieces), "strings")
+    found = settled.unionByName(rest.where("kind = 0").select("r1", "r2", "start", "end")).unionByName(sorted_shards(rest.where("kind = 1")))
+    runs = Runs(found, shards)
 
     def run(batch):
         out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept")}
-        for raw, runs in zip(map(utf8, batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
+        for raw, r1, r2 in zip(map(utf8, batch.column(1).to_pylist()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             spans: list[list[int]] = []
-            for a, b in sorted((r["a"], r["b"] + LENGTH - 1) for r in runs or ()):
+            for a, b in runs.of(r1, r2).tolist():
                 if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
+                    spans[-1][1] = max(spans[-1][1], b + LENGTH - 1)
                 else:
-                    spans.append([a, b])
+                    spans.append([a, b + LENGTH - 1])
             edges = [0, *[x for s in spans for x in s], len(raw)]
             kept = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if spans else raw
             for k, v in zip(out, (len(raw), len(raw) - len(kept), len(spans), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept if whole else None), strict=True):
                 out[k].append(v)
         yield {"doc_id": batch.column(0)} | out
 
-    named = _with_runs(every, runs).select("doc_id", "text", "runs")
     kind = every.schema["doc_id"].dataType.simpleString()
-    return map_rows(named, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
+    return map_rows(every.select("doc_id", "text", "r1", "r2"), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
