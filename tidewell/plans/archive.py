@@ -17,11 +17,16 @@ from .tables import Busy, VersionedTables, single_writer
 
 LINES = "rel string, line_no long, raw binary, key string"
 FILES = "rel string, size long, mtime long"
+#: Changed files up to which their names are broadcast.
+FEW = 100_000
 PROMPTS = "session string, line_no long, display string, timestamp long, project string"
 
 
 class Archive(VersionedTables):
-    """Append-only copy of every line that a live tree has ever held. Lines are bytes; their order is line_no."""
+    """Append-only copy of every line that a live tree has ever held. Lines are bytes; their order is line_no. Lines are
+    dealt to buckets by file, and a sync adds the new ones to theirs."""
+
+    keys = {"lines": "rel"}
 
     def __init__(self, spark: SparkSession, folder: str, live: str):
         super().__init__(spark, folder)
@@ -41,15 +46,17 @@ class Archive(VersionedTables):
         listing = transcripts.listing(self.spark, self.live)
         state = listing.select("rel", "size", "mtime")
         changed = L.unchanged(state, self.table_or("files", FILES)).select("rel", "size", "mtime")
-        if self.version() and changed.isEmpty():
+        if self.exists("lines") and changed.isEmpty():
             return "skipped"
-        old = self.lines()
+        old = self.lines().join(F.broadcast(changed.select("rel")) if changed.count() <= FEW else changed.select("rel"), "rel", "left_semi")
         new = L.first_of(L.archive_merge(self.live_lines(listing.join(changed.select("rel"), "rel", "left_semi")), old), ["rel", "key"], "line_no")
         last = old.groupBy(F.col("rel").alias("rel_")).agg(F.max("line_no").alias("last"))
         place = F.row_number().over(Window.partitionBy("rel").orderBy("line_no"))
         new = new.withColumn("place", place).join(last, F.col("rel") == F.col("rel_"), "left")
         new = new.select("rel", (F.coalesce("last", F.lit(0)) + F.col("place")).alias("line_no"), "raw", "key")
-        self.commit({"lines": old.unionByName(new), "files": state})
+        self.commit({"lines": new, "files": state}, added=["lines"] if self.exists("lines") else ())
+        if self.crowded("lines"):
+            self.commit({"lines": self.lines()})
         return "ok"
 
     def verify(self, removed: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 `events` holds the last write of every uuid, `dedup` the winner of every message, `rollup` sums by session, date and
 model, `manifest` what each source looked like when it was read, `pricing` the editable rates. A version of the tables
-is a folder of its own; the file `current` names the one in force and is replaced last, so that a failed run changes
-nothing. A sync reads changed sources only and recomputes only the messages and sessions that they touch.
+is put in force by one rename, so that a failed run changes nothing. Events, winners and sums are dealt to buckets by
+session. A sync reads changed sources only, recomputes only the messages and sessions that they touch, and writes only
+the buckets of those sessions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions.schemas import PRICING, USAGE_EVENTS
 from ..operators import usage as U
 from ..operators.lines import unchanged
 from ..sources import sinks, transcripts
+from ..sources.scratch import written
 from .tables import VersionedTables, single_writer
 
 TABLES = ("events", "dedup", "rollup", "manifest", "pricing")
@@ -28,13 +30,15 @@ class NotReadOnly(ValueError):
 
 
 class UsageStore(VersionedTables):
+    keys = {"events": "session_id", "dedup": "session_id", "rollup": "session_id"}
+
     def __init__(self, spark: SparkSession, folder: str, archive: str, live: str, prices: list[tuple] | None = None):
         super().__init__(spark, folder)
         self.archive, self.live, self.prices = archive, live, prices or []
 
-    def _commit(self, tables: dict[str, DataFrame]) -> str:
+    def _commit(self, tables: dict[str, DataFrame], only: dict | None = None) -> str:
         columns = lambda n, df: USAGE_EVENTS.names if n in ("events", "dedup") else sorted(df.columns) if n == "rollup" else df.columns
-        return self.commit({n: tables[n].select(*columns(n, tables[n])) for n in TABLES})
+        return self.commit({n: df.select(*columns(n, df)) for n, df in tables.items()}, only)
 
     # ---- ingest
 
@@ -54,14 +58,14 @@ class UsageStore(VersionedTables):
         return rows.join(times, "path")
 
     def _pricing(self) -> DataFrame:
-        return self.table("pricing") if self.version() else self.spark.createDataFrame(self.prices, PRICING)
+        return self.table("pricing") if self.exists("pricing") else self.spark.createDataFrame(self.prices, PRICING)
 
     @single_writer
     def build(self) -> str:
         """Everything anew from the sources; rows of sources that are gone stay, as does an edited price list."""
         listing = self._listing()
         rows = self._read(listing)
-        if self.version():
+        if self.exists("events"):
             rows = self.table("events").withColumn("line_no", F.lit(0).cast("long")).withColumn("tree_rank", F.lit(-1)).unionByName(rows)
         return self._commit(self._derived(rows, listing))
 
@@ -76,7 +80,7 @@ class UsageStore(VersionedTables):
 
     def sync(self, prefix: str | None = None) -> str | None:
         """Files of which a copy changed, alone; all copies of those, so that the copy that wins is the same as in a build."""
-        return self._sync(prefix) if self.version() else self.build()
+        return self._sync(prefix) if self.exists("events") else self.build()
 
     @single_writer
     def _sync(self, prefix: str | None) -> str | None:
@@ -89,17 +93,19 @@ class UsageStore(VersionedTables):
             return None
         files = changed.select(F.regexp_replace("source", r"\|live$", "").alias("rel")).distinct()
         changed = listing.join(files, "rel", "left_semi")
-        events, dedup, rollup = self.table("events"), self.table("dedup"), self.table("rollup")
-        fresh = U.latest_by_uuid(self._read(changed), F.col("tree_rank"), F.col("source_file"), F.col("line_no")).select(*USAGE_EVENTS.names)
+        fresh = written(U.latest_by_uuid(self._read(changed), F.col("tree_rank"), F.col("source_file"), F.col("line_no")).select(*USAGE_EVENTS.names), "fresh")
         ids = fresh.select(F.col("uuid").alias("uuid_"))
-        merged = events.join(ids, F.col("uuid") == F.col("uuid_"), "left_anti").unionByName(fresh)
+        # Sessions that new rows are in, and those that held a row with the same uuid: their buckets alone are written.
         key = ["session_id", "message_id"]
-        dirty = fresh.select(*key).unionByName(events.join(ids, F.col("uuid") == F.col("uuid_"), "left_semi").select(*key)).distinct()
+        dirty = written(fresh.select(*key).unionByName(self.table("events").join(ids, F.col("uuid") == F.col("uuid_"), "left_semi").select(*key)).distinct(), "dirty")
+        touched = [r["b"] for r in dirty.select(self.bucket("events").alias("b")).distinct().collect()]  # at most `buckets`
+        events, dedup, rollup = (self.table(n, touched) for n in ("events", "dedup", "rollup"))
+        merged = written(events.join(ids, F.col("uuid") == F.col("uuid_"), "left_anti").unionByName(fresh), "merged")
         won = U.winner_per_message(merged.join(dirty, key, "left_semi"))
-        kept = dedup.join(dirty, key, "left_anti").unionByName(won)
+        kept = written(dedup.join(dirty, key, "left_anti").unionByName(won), "kept")
         sessions = dirty.select("session_id").distinct()
         sums = rollup.join(sessions, "session_id", "left_anti").unionByName(U.view("usage_rollup", kept.join(sessions, "session_id", "left_semi")))
-        return self._commit({"events": merged, "dedup": kept, "rollup": sums, "manifest": self._manifest(listing), "pricing": self.table("pricing")})
+        return self._commit({"events": merged, "dedup": kept, "rollup": sums, "manifest": self._manifest(listing)}, dict.fromkeys(("events", "dedup", "rollup"), touched))
 
     def _manifest(self, listing: DataFrame) -> DataFrame:
         """The listing's state, and the earlier state of sources that it doesn't hold."""
@@ -108,8 +114,7 @@ class UsageStore(VersionedTables):
 
     @single_writer
     def set_pricing(self, rows: list[tuple]) -> str:
-        tables = {n: self.table(n) for n in TABLES}
-        return self._commit(tables | {"pricing": self.spark.createDataFrame(rows, PRICING)})
+        return self._commit({"pricing": self.spark.createDataFrame(rows, PRICING)})
 
     # ---- reading
 
@@ -138,8 +143,12 @@ class UsageStore(VersionedTables):
             self.table(name).createOrReplaceTempView(f"usage_{name}")
         costed = self.costed()
         costed.createOrReplaceTempView("v_events_costed")
+        self.table("dedup").createOrReplaceTempView("v_events_dedup")
         for name in U.VIEWS:
-            U.view(name, costed).createOrReplaceTempView(f"v_{name}")
+            view = U.view(name, costed)
+            view.createOrReplaceTempView(f"v_{name}")
+            if name == "hour_of_day":
+                view.createOrReplaceTempView("v_hourly")
 
     def sql(self, text: str) -> DataFrame:
         """A query over the tables (usage_*) and views (v_*); anything that isn't one is refused."""
