@@ -11,7 +11,9 @@ from tidewell.functions.scalars import instant
 from tidewell.operators import lines as L
 from tidewell.operators import repair as R
 from tidewell.operators import usage as U
+from tidewell.functions.schemas import PRICING
 from tidewell.plans.store import NotReadOnly, UsageStore, read_only
+from tidewell.plans.tables import Busy, Lock, VersionedTables
 from tidewell.sources import transcripts as T
 
 PRICES = [("alpha", 1000000, 5000000, 1250000, 2000000, 100000), ("alpha-large", 3000000, 15000000, 3750000, 6000000, 300000)]
@@ -170,5 +172,54 @@ def test_streams_equal_batch(spark, tmp_path):
         rows.where(F.col("id") % 4 == i if "id" in rows.columns else F.col("line_no") % 4 == i).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     S.upsert(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    last = max((p.name for p in (tmp_path / "out").iterdir()), key=lambda n: int(n.split("=")[1]))
-    assert spark.read.parquet(str(tmp_path / "out" / last)).count() == 60
+    merged = S.Merged(spark, str(tmp_path / "out"), "uuid")
+    assert merged.rows().count() == 60
+    before = merged.version()
+    merged.merge(rows.limit(1), merged.state()["batch"], S.latest)  # a batch that runs again
+    assert merged.version() == before
+
+
+def test_sync_writes_touched_buckets_alone(spark, tmp_path):
+    live = tmp_path / "live/p"
+    live.mkdir(parents=True)
+    for k in range(12):
+        (live / f"s{k}.jsonl").write_bytes(line(f"u{k}", f"s{k}", "m") + b"\n")
+    store = UsageStore(spark, str(tmp_path / "store"), str(tmp_path / "none"), str(tmp_path / "live"), PRICES)
+    (tmp_path / "none").mkdir()
+    store.build()
+    before = store.state()["tables"]
+    with open(live / "s3.jsonl", "ab") as f:
+        f.write(line("u99", "s3", "m2") + b"\n")
+    assert store.sync() and store.sync() is None
+    after = store.state()["tables"]
+    for name in ("events", "dedup", "rollup"):
+        changed = {b for b in {*before[name]["parts"], *after[name]["parts"]} if before[name]["parts"].get(b) != after[name]["parts"].get(b)}
+        assert changed == {str(spark.range(1).select(F.pmod(F.xxhash64(F.lit("s3")), F.lit(64)).alias("b")).first().b)}
+    assert store.table("events").count() == 13 and before["pricing"] == after["pricing"]
+
+
+def test_lock_of_another_writer(spark, tmp_path):
+    """A lock that was taken over is neither removed by its earlier owner nor written past."""
+    tables = VersionedTables(spark, str(tmp_path / "t"))
+    with Lock(tables.files) as tables.lock:
+        with pytest.raises(Busy):
+            Lock(tables.files).__enter__()
+        tables.files.write(".writer", "another")
+        with pytest.raises(Busy):
+            tables.commit({"x": spark.range(3)})
+    assert (tmp_path / "t/.writer").read_text() == "another" and tables.version() is None
+
+
+def test_costs_beyond_a_long(spark):
+    rows = spark.range(30).select(F.lit("alpha").alias("model"), F.lit(9_000_000_000_000_000_000).alias("c12"))
+    assert rows.groupBy("model").agg(U.measure("cost_usd")).first().cost_usd == 270_000_000.0
+
+
+def test_price_lists(spark):
+    """A list that becomes an expression and one that is joined give the same costs."""
+    from itertools import product
+
+    events = spark.createDataFrame([(m, *t) for m, t in product(["ALPHA-large-2", "alpha", "al", "", "p17-x", None], [(1, 2, 3, 4, 5, 6)])], "model string, input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, ephemeral_5m_tokens long, ephemeral_1h_tokens long")
+    more = [(f"p{k}", k, 2 * k, 3 * k, 4 * k, 5 * k) for k in range(U.FEW_PRICES)]
+    few, many = (U.costed(events, spark.createDataFrame(p, PRICING)) for p in (PRICES + more[:20], PRICES + more))
+    assert {(r.model, r.c12) for r in few.collect()} == {(r.model, r.c12) for r in many.collect()} and len({r.c12 for r in few.collect()}) == 4
