@@ -75,6 +75,33 @@ def append_ledger(ledger: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["session", "uuid"]).join(ledger.select("session", "uuid"), ["session", "uuid"], "left_anti")
 
 
+def lost(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """Keys that a rewritten history no longer has: it must be empty before the history may be replaced."""
+    return before.select(*keys).distinct().join(after.select(*keys), list(keys), "left_anti")
+
+
+def known_keys(index: DataFrame, history: DataFrame, *keys: str) -> DataFrame:
+    """Keys that either an index or a history has."""
+    return index.select(*keys).unionByName(history.select(*keys)).distinct()
+
+
+def lines_of_message(lines: DataFrame) -> DataFrame:
+    """Adds n_lines: lines of the same message in the file. lines: rel, message, ..."""
+    return lines.withColumn("n_lines", F.count("*").over(Window.partitionBy("rel", "message")))
+
+
+def forget(manifest: DataFrame, gone: DataFrame) -> DataFrame:
+    """A manifest without the state of files that were rewritten, whatever copy it is of. manifest: source; gone: rel."""
+    return manifest.withColumn("rel_", F.regexp_replace("source", r"\|live$", "")).join(gone.select(F.col("rel").alias("rel_")).distinct(), "rel_", "left_anti").drop("rel_")
+
+
+def sweep_totals(stats: DataFrame) -> DataFrame:
+    """One row over the statistics of a sweep's files: files, files that changed, and the sums of the counts."""
+    counts = [c for c in stats.columns if c != "rel"]
+    edits = sum((F.coalesce(F.col(c), F.lit(0)) for c in counts if c not in ("lines", "valid", "unparseable")), F.lit(0))
+    return stats.agg(F.count("*").alias("files"), F.count_if(edits > 0).alias("changed"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts])
+
+
 def cleanable(events: DataFrame) -> DataFrame:
     """Session-end events after which a repair may run: all but those of a session that is being resumed.
     events: reason, end_reason, ..."""

@@ -54,7 +54,7 @@ def find(history: DataFrame, text: str = "", project: str = "", since: str = "")
     rows = rows.where((F.size("matches") > 0) & F.lower("project").contains(project.lower()))
     if since:
         rows = rows.where(F.substring(minute_text(F.col("last")), 1, 10) >= since)
-    return rows.select("session", "project", minute_text(F.col("first")).alias("first"), minute_text(F.col("last")).alias("last"), F.size("prompts").alias("n_prompts"), F.size("matches").alias("n_matches"), F.element_at("matches", 1).alias("first_match"))
+    return rows.select("session", "project", minute_text(F.col("first")).alias("first"), minute_text(F.col("last")).alias("last"), F.size("prompts").alias("n_prompts"), F.size("matches").alias("n_matches"), F.element_at("matches", 1).alias("first_match"), "matches")
 
 
 def state(found: DataFrame, live: DataFrame, archived: DataFrame) -> DataFrame:

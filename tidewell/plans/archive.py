@@ -12,6 +12,7 @@ from ..functions.schemas import REMOVED
 from ..operators import lines as L
 from ..operators import prompts as P
 from ..operators import repair as R
+from ..sources import bytes as B
 from ..sources import transcripts
 from .tables import Busy, VersionedTables, single_writer
 
@@ -49,12 +50,18 @@ class Archive(VersionedTables):
         if self.exists("lines") and changed.isEmpty():
             return "skipped"
         old = self.lines().join(F.broadcast(changed.select("rel")) if changed.count() <= FEW else changed.select("rel"), "rel", "left_semi")
-        new = L.first_of(L.archive_merge(self.live_lines(listing.join(changed.select("rel"), "rel", "left_semi")), old), ["rel", "key"], "line_no")
+        # Only what the files got since the last sync is read; one whose beginning changed is read whole, and its lines
+        # meet the archived ones by key as all do.
+        offsets = self.table_or("offsets", B.STATE)
+        got, now = B.appended(listing.join(changed.select("rel"), "rel", "left_semi"), offsets)
+        fresh = transcripts.keyed(got.where("ended").select("rel", F.col("start").alias("line_no"), "raw")).select("rel", "line_no", "raw", "key")
+        new = L.first_of(L.archive_merge(fresh, old), ["rel", "key"], "line_no")
         last = old.groupBy(F.col("rel").alias("rel_")).agg(F.max("line_no").alias("last"))
         place = F.row_number().over(Window.partitionBy("rel").orderBy("line_no"))
         new = new.withColumn("place", place).join(last, F.col("rel") == F.col("rel_"), "left")
         new = new.select("rel", (F.coalesce("last", F.lit(0)) + F.col("place")).alias("line_no"), "raw", "key")
-        self.commit({"lines": new, "files": state}, added=["lines"] if self.exists("lines") else ())
+        offsets = offsets.join(now.select("rel"), "rel", "left_anti").unionByName(now)
+        self.commit({"lines": new, "files": state, "offsets": offsets}, added=["lines"] if self.exists("lines") else ())
         if self.crowded("lines"):
             self.commit({"lines": self.lines()})
         return "ok"
@@ -76,6 +83,26 @@ class Archive(VersionedTables):
         kept = L.restore_merge(held.join(only, "rel", "left_anti"), live).select("rel", "part", "line_no")
         return out.unionByName(rows.join(kept, ["rel", "part", "line_no"], "left_semi").select("rel", "part", "line_no", "raw", F.lit("merged").alias("status")))
 
+    def restore_files(self, merge_live: bool = False, now: float | None = None, running: list[str] = (), quiet: int = 3600) -> DataFrame:
+        """Write back what the live tree lost: rel, status. Files that only the archive has are restored. With merge_live,
+        files that lack archived lines get them (merged), unless a session runs, the file was written to lately or ends in
+        half a line (skipped); the others are untouched."""
+        now = time.time() if now is None else now
+        listing = transcripts.listing(self.spark, self.live, skip=None)
+        rows = self.restore(merge_live).withColumn("order", F.row_number().over(Window.partitionBy("rel").orderBy("part", "line_no")))
+        write, other = rows.where("status = 'restored'"), None
+        if merge_live:
+            lacking = L.missing(self.lines(), self.live_lines()).select("rel").distinct()
+            half = transcripts.raw_lines(self.spark, self.live, listing).where("NOT ended").select("rel")
+            busy = listing.where((F.col("mtime") > int((now - quiet) * 1_000_000)) | owner_session(F.col("rel")).isin(list(running))).select("rel").unionByName(half).distinct()
+            write = write.unionByName(rows.where("status = 'merged'").join(lacking, "rel", "left_semi").join(busy, "rel", "left_anti"))
+            told = F.when(F.col("lacks"), "skipped").otherwise("untouched")
+            other = rows.where("status = 'merged'").select("rel").distinct().join(lacking.withColumn("lacks", F.lit(True)), "rel", "left")
+            other = other.select("rel", told.alias("status"))
+        done = B.write_back(write.select("rel", F.col("order").alias("line_no"), "raw", F.lit(True).alias("ended")), listing, self.live, _stamp(now))
+        done = done.select("rel", F.when(F.col("status") == "new", "restored").when(F.col("status") == "written", "merged").otherwise("skipped").alias("status"))
+        return done if other is None else done.unionByName(other.join(done.select("rel"), "rel", "left_anti"))
+
     def status(self) -> DataFrame:
         return self.lines().agg(F.count_distinct("rel").alias("files"), F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)).alias("bytes"), F.round(F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0)) / (1024 * 1024), 1).alias("megabytes"))
 
@@ -110,6 +137,7 @@ class Repairs(VersionedTables):
         cleaned = R.clean(lines.select("rel", "line_no", "raw")).persist()
         blocks = R.drop_empty_blocks(R.kept(cleaned)).persist()
         stamp = F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(now)))
+        half = lines.where("NOT ended").select("rel", "line_no", "ended")
         text = lambda df: df.select(stamp.alias("archived_at"), "source_file", "source_line", "reason", F.col("content").cast("string").alias("content"))
         dropped = blocks.where("action = 'dropped'").select(F.col("rel").alias("source_file"), F.col("line_no").alias("source_line"), F.lit("empty-thinking-only line").alias("reason"), F.col("raw").alias("content"))
         records = text(R.removed(cleaned).unionByName(dropped))
@@ -117,20 +145,78 @@ class Repairs(VersionedTables):
         stats = cleaned.groupBy("rel").agg(F.count("*").alias("lines"), *[F.count_if(F.col("fate") == f).alias(f) for f in ("valid", "repaired", "unparseable", "blank", "control")], F.count_if(F.col("fate").startswith("duplicate")).alias("duplicates"))
         edits = blocks.groupBy(F.col("rel").alias("rel_")).agg(F.sum(F.when(F.col("action") == "edited", F.col("blocks")).otherwise(0)).alias("blocks_removed"), F.count_if(F.col("action") == "dropped").alias("lines_removed"), F.count_if(F.col("action") == "relinked").alias("relinked"))
         stats = stats.join(edits, F.col("rel") == F.col("rel_"), "left").drop("rel_")
-        out = blocks.where("action <> 'dropped'").select("rel", "line_no", "raw")
+        out = blocks.where("action <> 'dropped'").select("rel", "line_no", "raw").join(half, ["rel", "line_no"], "left").withColumn("ended", F.coalesce("ended", F.lit(True)))
         clean = self.table_or("clean", FILES).join(files.select("rel"), "rel", "left_anti").unionByName(files.select("rel", "size", "mtime"))
-        self.commit({"removed": self.log().unionByName(new.select(*self.log().columns)), "lines": out, "clean": clean, "stats": stats})
+        self.commit({"removed": self.log().unionByName(new.select(*self.log().columns)), "lines": out, "clean": clean, "stats": stats, "swept": files.select("rel", "size", "mtime")})
         cleaned.unpersist()
         blocks.unpersist()
         return self.table("stats")
 
 
+    def totals(self) -> DataFrame:
+        return L.sweep_totals(self.table("stats"))
+
+    def apply(self, now: float | None = None) -> DataFrame:
+        """Write the last sweep's changed files back: rel, status, backup. What goes is in the log already; a file that was
+        touched since it was read is left alone."""
+        now = time.time() if now is None else now
+        stats = self.table("stats")
+        edits = sum((F.coalesce(F.col(c), F.lit(0)) for c in stats.columns if c not in ("rel", "lines", "valid", "unparseable")), F.lit(0))
+        return B.write_back(self.table("lines").join(stats.where(edits > 0).select("rel"), "rel", "left_semi"), self.table("swept"), self.live, _stamp(now))
+
+
+def _stamp(now: float) -> str:
+    return time.strftime("%Y%m%dT%H%M%SZ", time.gmtime(now))
+
+
 class History(VersionedTables):
     """The prompt history: append-only, one row for each session, time and text."""
 
     def known(self) -> DataFrame:
         return self.table_or("prompts", PROMPTS)
 
+    def scan(self, live: str, now_ms: int) -> DataFrame:
+        """Prompts of a live tree that the history lacks, without adding them."""
+        return P.merge(transcripts.prompt_rows(transcripts.raw_lines(self.spark, live), now_ms), self.known(), "line_no")
+
+    def merge_file(self, live: str, path: str, now_ms: int) -> str:
+        """Append a live tree's new prompts to a history file of JSON lines, which others may write as well.
+
+        ok; noop when nothing is new; refused when the part that was read last time has changed; deferred when the file ends
+        in half a line; busy when another merge holds the folder; error when the file can't be read or written."""
+        try:
+            return self._merge_file(live, path, now_ms)
+        except Busy:
+            return "busy"
+        except OSError:
+            return "error"
+
+    @single_writer
+    def _merge_file(self, live: str, path: str, now_ms: int) -> str:
+        fs, name = B.place(path)
+        try:
+            with fs.open_input_file(name) as f:
+                raw = f.read()
+        except FileNotFoundError:
+            raw = b""
+        read = lambda a, b: raw[a:b]
+        seen = self.state().get("indexed")
+        if seen and (len(raw) < seen["end"] or list(B.fingerprint(read, seen["end"])) != seen["prints"]):
+            return "refused"
+        if raw and not raw.endswith(b"\n"):
+            return "deferred"
+        found = transcripts.prompt_rows(transcripts.raw_lines(self.spark, live), now_ms)
+        known = transcripts.history_rows(self.spark, path) if raw else self.spark.createDataFrame([], PROMPTS)
+        new = P.merge(found, known.select(*found.columns), "line_no").orderBy("timestamp", "session", "line_no")
+        line = F.to_json(F.struct("display", F.create_map().cast("map<string,string>").alias("pastedContents"), "timestamp", "project", F.col("session").alias("sessionId")))
+        more = b"".join(r["line"].encode() + b"\n" for r in new.select(line.alias("line")).toLocalIterator())  # one history's new prompts
+        if more:
+            with fs.open_append_stream(name) if raw else fs.open_output_stream(name) as f:
+                f.write(more)
+        whole = raw + more
+        self.commit({}, indexed={"end": len(whole), "prints": list(B.fingerprint(lambda a, b: whole[a:b], len(whole)))})
+        return "ok" if more else "noop"
+
     def merge(self, live: str, now_ms: int, since: int | None = None, throttle_seconds: int = 0) -> str:
         """Add the prompts of a live tree's files, of those changed since (microseconds, less ten minutes) if given.
         ok; noop when nothing is new; throttled when the last merge is more recent than that; busy when another writes."""

@@ -320,7 +320,7 @@ _FIND = """, s AS (
 
 @query("session_find", f"WITH {_LINES}{_FIND} SELECT * FROM found")
 def _find(s, d):
-    return P.find(history(s, d), "TH", "Proj", "2023-11-16")
+    return P.find(history(s, d), "TH", "Proj", "2023-11-16").drop("matches")
 
 
 @query("session_find_state", f"WITH {_LINES}{_FIND} SELECT session, last, CASE WHEN session IN (SELECT rel FROM live WHERE rel % 3 <> 0) THEN 'live' WHEN session IN (SELECT rel FROM archived WHERE rel % 2 = 0) THEN 'archived' ELSE 'gone' END AS state FROM found")
@@ -527,3 +527,28 @@ def _lines_blocks(s, d):
     from ..operators.repair import drop_empty_blocks
 
     return drop_empty_blocks(transcript(s, d)).select("rel", "line_no", "action", "blocks", F.get_json_object(F.col("raw").cast("string"), "$.parentUuid").alias("parent"))
+
+
+@query("lines_of_message", f"WITH {_LINES} SELECT rel, line_no, count(*) OVER (PARTITION BY rel, line_no // 3) AS n_lines FROM lines")
+def _lines_of_message(s, d):
+    rows = _lines(s, d).select("rel", "line_no", F.floor(F.col("line_no") / 3).alias("message"))
+    return L.lines_of_message(rows).select("rel", "line_no", "n_lines")
+
+
+@query("lost_prompts", f"WITH {_LINES} SELECT DISTINCT session, timestamp, md5(display) AS digest FROM history h WHERE session % 4 = 0 AND NOT EXISTS (SELECT 1 FROM history k WHERE (k.line_no % 3 = 0 OR k.session % 8 = 0) AND k.session = h.session AND k.timestamp = h.timestamp AND k.display = h.display)")
+def _lost(s, d):
+    h = history(s, d)
+    kept = L.known_keys(h.where("line_no % 3 = 0"), h.where("session % 8 = 0"), "session", "timestamp", "display")
+    return L.lost(h.where("session % 4 = 0"), kept, "session", "timestamp", "display").select("session", "timestamp", F.md5(F.col("display").cast("binary")).alias("digest"))
+
+
+@query("manifest_forget", f"WITH {_LINES} SELECT CAST(rel AS VARCHAR) || CASE WHEN rel % 2 = 0 THEN '|live' ELSE '' END AS source FROM (SELECT DISTINCT rel FROM lines) WHERE rel % 3 <> 0")
+def _forget(s, d):
+    rels = _lines(s, d).select("rel").distinct()
+    manifest = rels.select(F.concat(F.col("rel").cast("string"), F.when(F.col("rel") % 2 == 0, "|live").otherwise("")).alias("source"))
+    return L.forget(manifest, rels.where("rel % 3 = 0").select(F.col("rel").cast("string").alias("rel")))
+
+
+@query("sweep_totals", f"WITH {_CLEAN}, f AS (SELECT rel, count(*) AS lines, count(*) FILTER (WHERE fate = 'kept') AS kept, count(*) FILTER (WHERE fate = 'blank') AS blank, count(*) FILTER (WHERE fate = 'control') AS control, count(*) FILTER (WHERE fate = 'duplicate') AS duplicate FROM fates GROUP BY rel) SELECT count(*) AS files, count(*) FILTER (WHERE blank + control + duplicate > 0) AS changed, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(kept) AS BIGINT) AS valid, CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(control) AS BIGINT) AS control, CAST(sum(duplicate) AS BIGINT) AS duplicate FROM f")
+def _totals(s, d):
+    return L.sweep_totals(L.line_stats(fates(s, d)).withColumnRenamed("kept", "valid"))

@@ -128,6 +128,19 @@ class UsageStore(VersionedTables):
     def stats(self) -> DataFrame:
         return U.stats(self.costed())
 
+    def figures(self) -> list[tuple[str, str]]:
+        """Labelled figures of the winners and of all rows, as a console shows them."""
+        one, raw = self.stats().first().asDict(), U.stats_raw(self.table("events")).first().asDict()
+        share = 100 * one["cache_read_tokens"] / one["total_tokens"] if one["total_tokens"] else 0.0
+        shown = lambda v: f"{v:,}" if isinstance(v, int) else "" if v is None else str(v)
+        more = {"raw events": raw["events"], "raw total tokens": raw["total_tokens"]}
+        return [(k.replace("_", " "), shown(v)) for k, v in (one | more).items()] + [("cache read share", f"{share:.1f}%")]
+
+    def unpriced(self) -> list[str]:
+        """Models with tokens and no price, at most 20."""
+        free = U.costed(self.table("dedup").where("total_tokens > 0 AND model <> ''"), self.table("pricing")).groupBy("model").agg(F.max("c12").alias("most")).where("most = 0")
+        return [r["model"] for r in free.orderBy("model").limit(20).collect()]
+
     def report(self, name: str, n: int | None = None) -> DataFrame:
         """hourly [48], daily [30], sessions [40]: the last n; weekly and monthly: all; models: by model."""
         of, by, most = {"hourly": ("hourly_ts", ("hour_bucket",), 48), "daily": ("daily", ("date",), 30), "sessions": ("sessions_timeline", ("started", "session_id"), 40)}.get(name, (None, None, None))
