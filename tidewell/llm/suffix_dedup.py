@@ -65,54 +65,61 @@ def alike(t: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
 class Shard:
     """Strings of a shard in files, and the runs of their starts that a smaller document covers."""
 
-    def __init__(self, held: int):
-        self.held, self.strings, self.size = held, 0, 0
+    def __init__(self, held: int, length: int):
+        self.held, self.length, self.strings, self.size = held, length, 0, 0
         self.folder = tempfile.mkdtemp(prefix="suffixes-")  # the worker's own disk: gone when the shard is done
-        self.files = {k: open(os.path.join(self.folder, k), "wb") for k in ("text", "start", "size", "doc", "r1", "r2", "at")}
+        self.files = {k: open(os.path.join(self.folder, k), "wb") for k in ("text", "fits", "start", "doc", "r1", "r2", "at")}
 
-    def add(self, text: bytes, doc: int, r1: int, r2: int, at: int) -> None:
-        """A string, its document, its row's key, and where in the row it begins."""
-        (np.frombuffer(text + b"\0", np.uint8).astype(np.uint16) + 2).tofile(self.files["text"])
-        for k, v in (("start", self.size), ("size", len(text)), ("doc", doc), ("r1", r1), ("r2", r2), ("at", at)):
-            self.files[k].write(v.to_bytes(8, "little", signed=True))
-        self.strings += 1
-        self.size += len(text) + 1
+    def add(self, strings: list[tuple[bytes, int, int, int, int]]) -> None:
+        """Strings with their document, their row's key, and where in the row each begins."""
+        if not strings:
+            return
+        texts, *others = zip(*strings, strict=True)
+        (np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 2).tofile(self.files["text"])
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = self.size + np.cumsum(size + 1)
+        starts = np.maximum(size - self.length + 1, 0)  # those of a whole string, then the rest
+        np.repeat(np.tile(np.array([1, 0], np.uint8), len(texts)), np.stack([starts, size + 1 - starts], 1).ravel()).tofile(self.files["fits"])
+        for k, v in zip(("start", "doc", "r1", "r2", "at"), (ends - size - 1, *others), strict=True):
+            np.asarray(v, np.int64).tofile(self.files[k])
+        self.strings += len(texts)
+        self.size = int(ends[-1])
 
     def close(self) -> None:
         for f in self.files.values():
             f.close()
         shutil.rmtree(self.folder, ignore_errors=True)
 
-    def covered(self, length: int) -> Iterator[dict[str, np.ndarray]]:
+    def covered(self) -> Iterator[dict[str, np.ndarray]]:
         """r1, r2, start, end of covered runs."""
         if not self.strings:
             return
         self.files["text"].write(b"\0\0")
         for f in self.files.values():
             f.flush()
-        held = lambda k, kind: np.memmap(os.path.join(self.folder, k), kind, "r")
-        t, (start, size, doc, r1, r2, at) = held("text", np.uint16), (held(k, np.int64) for k in ("start", "size", "doc", "r1", "r2", "at"))
+        held = lambda k, kind: np.asarray(np.memmap(os.path.join(self.folder, k), kind, "r"))
+        t, fits, (start, doc, r1, r2, at) = held("text", np.uint16), held("fits", np.bool_), (held(k, np.int64) for k in ("start", "doc", "r1", "r2", "at"))
         owner = lambda rows: np.searchsorted(start, rows, "right") - 1
         chunk = max(1, self.held // 8)
         # Suffixes in order, their groups of equal strings, and the least document of each group.
-        paths = [os.path.join(self.folder, k) for k in ("order", "group", "least")]
+        paths = [os.path.join(self.folder, k) for k in ("order", "group", "least", "owner")]
         count, last, low = 0, np.zeros(0, np.int64), None
-        with open(paths[0], "wb") as order, open(paths[1], "wb") as group, open(paths[2], "wb") as least:
+        with open(paths[0], "wb") as order, open(paths[1], "wb") as group, open(paths[2], "wb") as least, open(paths[3], "wb") as owners:
             for rows in suffixes(t, self.folder, self.held):
                 rows = np.ascontiguousarray(rows)
                 rows = rows[rows < self.size]
-                of = owner(rows)
-                fits = start[of] + size[of] - rows >= length
-                rows, of = rows[fits], of[fits]
+                rows = rows[fits[rows]]
                 if not len(rows):
                     continue
+                of = owner(rows)
                 new = np.ones(len(rows), bool)
                 both = np.concatenate([last, rows])
-                new[len(rows) - len(both) + 1 :] = ~alike(t, both, length)
+                new[len(rows) - len(both) + 1 :] = ~alike(t, both, self.length)
                 number = count + np.cumsum(new) - 1
                 rows.tofile(order)
                 number.tofile(group)
                 d = doc[of]
+                d.tofile(owners)
                 if low is not None and not new[0]:
                     d = np.append(low, d)
                     new = np.append(True, new)
@@ -128,8 +135,8 @@ class Shard:
             return
         lows = np.memmap(paths[2], np.int64, "r")
         hits = Queues(self.folder, self.held // 8)
-        for rows, number in zip(read(paths[0], chunk), read(paths[1], chunk), strict=True):
-            rows = rows[lows[number] < doc[owner(rows)]]
+        for rows, number, d in zip(*[read(paths[k], chunk) for k in (0, 1, 3)], strict=True):
+            rows = rows[lows[number] < d]
             for k in np.unique(rows // chunk):
                 hits.put(int(k), rows[rows // chunk == k])
         for k in range(-(-self.size // chunk)):
@@ -220,20 +227,23 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _columns(rows: list[tuple], n: int) -> list:
+    return list(zip(*rows, strict=True)) if rows else [()] * n
+
+
 def cut_pieces(docs: DataFrame) -> DataFrame:
     """r1, r2, doc, start, end and 128-bit key of each piece. docs: r1, r2, doc, text."""
     import xxhash
 
     def run(batch):
-        out = {k: [] for k in ("r1", "r2", "doc", "start", "end", "k1", "k2")}
+        names, rows, keys = ("r1", "r2", "doc", "start", "end", "k1", "k2"), [], []
         for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = utf8(text)
             cuts = pieces(np.frombuffer(raw, np.uint8)).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                key = np.frombuffer(xxhash.xxh3_128_digest(raw[a : b + LENGTH - 1]), np.int64)
-                for k, v in zip(out, (r1, r2, doc, a, b, int(key[0]), int(key[1])), strict=True):
-                    out[k].append(v)
-        yield out
+            rows += [(r1, r2, doc, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            keys += [xxhash.xxh3_128_digest(raw[a : b + LENGTH - 1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        yield dict(zip(names, (*_columns(rows, 5), pa.array(both[:, 0]), pa.array(both[:, 1])), strict=True))
 
     return map_rows(docs, run, "r1 long, r2 long, doc long, start int, end int, k1 long, k2 long")
 
@@ -271,13 +281,12 @@ class Runs:
         return runs[store.get(f"{shard}-r2")[mine] == r2]
 
 
-def open_starts(raw: bytes, runs) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor of each start, and whether the start lies outside the covered runs."""
-    h = anchors(np.frombuffer(raw, np.uint8))
-    left = np.ones(len(h), bool)
+def open_starts(raw: bytes, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor of each start, and whether the start lies outside the covered runs. A text without such starts isn't hashed."""
+    left = np.ones(max(0, len(raw) - LENGTH + 1), bool)
     for a, b in runs:
         left[a:b] = False
-    return h, left
+    return anchors(np.frombuffer(raw, np.uint8)) if left.any() else np.zeros(len(left), np.uint64), left
 
 
 def repeated_anchors(docs: DataFrame, shards: int, runs: Runs) -> str:
@@ -303,7 +312,10 @@ def repeated_anchors(docs: DataFrame, shards: int, runs: Runs) -> str:
             new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             low, many = np.minimum.reduceat(d, new), np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
             h = h[new]
-            cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+            of = shard_of(h, shards)
+            order = np.argsort(of, kind="stable")  # by hash within a shard
+            h, low, many = h[order], low[order], many[order]
+            cuts = np.searchsorted(of[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[s], cuts[s + 1])
                 out["shard"].append(int(s))
@@ -327,8 +339,12 @@ def repeated_anchors(docs: DataFrame, shards: int, runs: Runs) -> str:
     return folder
 
 
+#: Anchors are the least hashes of their neighbours: they are mixed again before their high bits say where they go.
+_MIX = 0x9E3779B97F4A7C15
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    return ((h * np.uint64(_MIX) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def candidates(docs: DataFrame, folder: str, shards: int, runs: Runs) -> DataFrame:
@@ -340,36 +356,42 @@ def candidates(docs: DataFrame, folder: str, shards: int, runs: Runs) -> DataFra
     from .lm import _store
 
     def run(batch):
-        out = {k: [] for k in ("kind", "r1", "r2", "doc", "start", "end", "shard", "anchor", "hash", "text")}
-        store, found = _store(folder), {}
+        names, rows = ("kind", "r1", "r2", "doc", "start", "end", "shard", "anchor", "hash", "text"), []
+        store, found, texts = _store(folder), {}, []
         for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             raw = utf8(text)
             h, left = open_starts(raw, runs.of(r1, r2))
             at = np.flatnonzero(left)
-            if not len(at):
-                continue
-            # Runs of starts with one anchor.
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (h[at[1:]] != h[at[:-1]])]))
-            first, last = at[new], at[np.append(new[1:], len(at)) - 1] + 1
-            mine, hit = h[first], np.zeros(len(first), bool)
-            order = np.argsort(mine)
-            cuts = np.searchsorted(shard_of(mine[order], shards), np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                held = store.get(f"{s}-anchors")
-                if held is not None and len(held):
-                    some = order[cuts[s] : cuts[s + 1]]
-                    hit[some] = held[np.minimum(np.searchsorted(held, mine[some]), len(held) - 1)] == mine[some]
-            for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True):
-                found.setdefault((int(h[a]), raw[a : b + LENGTH - 1]), []).append((doc, r1, r2, a, b))
+            if len(at):
+                # Runs of starts with one anchor.
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (h[at[1:]] != h[at[:-1]])]))
+                texts.append((doc, r1, r2, raw, at[new], at[np.append(new[1:], len(at)) - 1] + 1, h[at[new]]))
+        mine = np.concatenate([x[-1] for x in texts]) if texts else np.zeros(0, np.uint64)
+        of, hit = shard_of(mine, shards), np.zeros(len(mine), bool)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            held = store.get(f"{s}-anchors")
+            if held is not None and len(held):
+                some = order[cuts[s] : cuts[s + 1]]
+                hit[some] = held[np.minimum(np.searchsorted(held, mine[some]), len(held) - 1)] == mine[some]
+        done = 0
+        for doc, r1, r2, raw, first, last, h in texts:
+            on = hit[done : done + len(h)]
+            done += len(h)
+            for anchor, a, b in zip(h[on].tolist(), first[on].tolist(), last[on].tolist(), strict=True):
+                found.setdefault((anchor, raw[a : b + LENGTH - 1]), []).append((doc, r1, r2, a, b))
+        digest, all_ones = xxhash.xxh3_64_intdigest, 0xFFFFFFFFFFFFFFFF
         for (anchor, string), places in found.items():
-            least, h = min(p[0] for p in places), xxhash.xxh3_64_intdigest(string) >> 1
+            least = min(places)[0] if len(places) > 1 else places[0][0]
+            signed = anchor - (1 << 64) if anchor >= 1 << 63 else anchor
             for doc, r1, r2, a, b in places:
-                first = doc == least
-                shard = (anchor >> 32) * (SPLIT * shards) >> 32
-                row = (int(first), r1, r2, doc, a, b, shard if first else None, anchor - (1 << 64) if anchor >= 1 << 63 else anchor, h if first else None, string if first else None)
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-        yield out
+                if doc == least:
+                    shard = ((anchor * _MIX & all_ones) >> 32) * (SPLIT * shards) >> 32
+                    rows.append((1, r1, r2, doc, a, b, shard, signed, digest(string) >> 1, string))
+                else:
+                    rows.append((0, r1, r2, doc, a, b, None, signed, None, None))
+        yield dict(zip(names, _columns(rows, len(names)), strict=True))
 
     import xxhash
 
@@ -380,7 +402,7 @@ def sorted_shards(strings: DataFrame, held: int | None = None) -> DataFrame:
     """Covered runs of the shards' strings: r1, r2, start, end. strings: shard, anchor, hash, doc, r1, r2, start, text.
 
     A shard streams in, by anchor, hash and document. Of equal strings the first one's document is the smallest: the
-    others are covered, but for those of the same document. An anchor's strings wait until a second document has one."""
+    others are covered, but for those of the same document. An anchor's other strings wait until a second document has one: alone, a document matches nothing."""
     target = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def packed(columns):
@@ -392,27 +414,25 @@ def sorted_shards(strings: DataFrame, held: int | None = None) -> DataFrame:
         def flushed():
             nonlocal waiting
             if len(docs) > 1:
-                for x in waiting:
-                    shard.add(*x)
+                shard.add(waiting)
             waiting = []
 
         try:
             for batch in batches:
-                out = {f.name: [] for f in target}
-                for s, anchor, _, doc, r1, r2, at, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows = []
+                numbers = [batch.column(i).to_numpy().tolist() for i in (0, 1, 3, 4, 5, 6)]
+                for s, anchor, doc, r1, r2, at, text in zip(*numbers, batch.column(7).to_pylist(), strict=True):
                     if (s, anchor) != now:
                         if shard is not None:
                             flushed()
                         if s != now[0]:
                             if shard is not None:
-                                yield from map(packed, shard.covered(LENGTH))
+                                yield from map(packed, shard.covered())
                                 shard.close()
-                            shard = Shard(held or HELD)
+                            shard = Shard(held or HELD, LENGTH)
                         now, first, docs = (s, anchor), (None, None), set()
                     if text == first[0] and doc != first[1]:
-                        for k, v in zip(out, (r1, r2, at, at + len(text) - LENGTH + 1), strict=True):
-                            out[k].append(v)
-                        docs.add(doc)
+                        rows.append((r1, r2, at, at + len(text) - LENGTH + 1))
                         continue
                     if text != first[0]:
                         first = (text, doc)
@@ -420,10 +440,10 @@ def sorted_shards(strings: DataFrame, held: int | None = None) -> DataFrame:
                     waiting.append((text, doc, r1, r2, at))
                     if len(waiting) >= WAITING and len(docs) > 1:
                         flushed()
-                yield packed(out)
+                yield packed(dict(zip(target.names, _columns(rows, 4), strict=True)))
             if shard is not None:
                 flushed()
-                yield from map(packed, shard.covered(LENGTH))
+                yield from map(packed, shard.covered())
         finally:
             if shard is not None:
                 shard.close()
@@ -449,7 +469,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs = Runs(found, shards)
 
     def run(batch):
-        out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept")}
+        rows = []
         for raw, r1, r2 in zip(map(utf8, batch.column(1).to_pylist()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             spans: list[list[int]] = []
             for a, b in runs.of(r1, r2).tolist():
@@ -459,9 +479,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     spans.append([a, b + LENGTH - 1])
             edges = [0, *[x for s in spans for x in s], len(raw)]
             kept = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)) if spans else raw
-            for k, v in zip(out, (len(raw), len(raw) - len(kept), len(spans), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept if whole else None), strict=True):
-                out[k].append(v)
-        yield {"doc_id": batch.column(0)} | out
+            rows.append((len(raw), len(raw) - len(kept), len(spans), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest(), kept if whole else None))
+        yield {"doc_id": batch.column(0)} | dict(zip(("n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"), _columns(rows, 6), strict=True))
 
     kind = every.schema["doc_id"].dataType.simpleString()
     return map_rows(every.select("doc_id", "text", "r1", "r2"), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")

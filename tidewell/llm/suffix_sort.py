@@ -94,7 +94,7 @@ class Level:
     """One text of the recursion. t: its characters on disk; the last one is 0 and stands nowhere else."""
 
     def __init__(self, t: np.ndarray, folder: str, held: int):
-        self.t, self.n, self.folder, self.held = t, len(t), folder, held
+        self.t, self.n, self.folder, self.held = np.asarray(t), len(t), folder, held
         self.chunk = max(1, held // 8)
         self.stretch()
 
@@ -143,14 +143,19 @@ class Level:
                     add(i * width + k, m, True)
             else:
                 add(i * width, n, width == 1)
-        self.low, self.top = np.array(self.low, np.int64), top
+        self.low, self.top, self.table = np.array(self.low, np.int64), top, None
+        if top <= max(CELLS, self.held // 8):
+            self.table = (np.searchsorted(self.low, np.arange(top), "right") - 1).astype(np.uint16 if len(self.low) < 65_536 else np.int32)
 
     def deal(self, queues: Queues, chars: np.ndarray, rows: np.ndarray) -> None:
         """Rows to the queues of their characters' stretches, in order."""
         if not len(rows):
             return
-        of = np.searchsorted(self.low, chars, "right") - 1
-        of = of.astype(np.uint16) if len(self.low) < 65_536 else of
+        if self.table is not None:
+            of = self.table[chars]
+        else:
+            of = np.searchsorted(self.low, chars, "right") - 1
+            of = of.astype(np.uint16) if len(self.low) < 65_536 else of
         order = np.argsort(of, kind="stable")
         of, rows = of[order], rows[order]
         cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
@@ -193,7 +198,9 @@ class Level:
         with open(path, "wb") as f:
             for a in range(0, self.n, self.chunk):
                 (np.flatnonzero(flags[a : a + self.chunk]) + a).astype(np.int64).tofile(f)
-        self.is_lms, self.lms = flags, np.memmap(path, np.int64, "r")
+        flags.flush()
+        self.files = (flags.filename, path)
+        self.is_lms, self.lms = np.asarray(flags), np.asarray(np.memmap(path, np.int64, "r"))
 
     # ---- induction
 
@@ -320,14 +327,11 @@ class Level:
 
     # ---- names
 
-    def unlike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the LMS substrings at a and b differ."""
-        def size(x):
-            i = np.searchsorted(self.lms, x)
-            return np.asarray(self.lms[np.minimum(i + 1, len(self.lms) - 1)]) - x
-
-        length = size(a)
-        out = length != size(b)
+    def unlike(self, rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Whether the LMS substring at each place differs from the one before. of: numbers of the LMS suffixes."""
+        size = self.lms[np.minimum(of + 1, len(self.lms) - 1)] - rows
+        a, b, length = rows[:-1], rows[1:], size[:-1]
+        out = length != size[1:]
         live, k = np.flatnonzero(~out), 0
         while len(live):
             fail = self.t[a[live] + k] != self.t[b[live] + k]
@@ -351,14 +355,14 @@ class Level:
         named, last, count = Queues(self.folder, self.held // 8), None, 0
         for rows in read(first, self.chunk, back=True):
             rows = np.ascontiguousarray(rows)
-            new = np.ones(len(rows), np.int64)
-            whole = rows if last is None else np.append(last, rows)
-            new[len(rows) - len(whole) + 1 :] = self.unlike(whole[:-1], whole[1:])
-            names, last = count + np.cumsum(new) - 1, rows[-1:]
+            new, of = np.ones(len(rows), np.int64), np.searchsorted(self.lms, rows)
+            both = [rows, of] if last is None else [np.append(x, y) for x, y in zip(last, (rows, of), strict=True)]
+            new[len(rows) - len(both[0]) + 1 :] = self.unlike(*both)
+            names, last = count + np.cumsum(new) - 1, (rows[-1:], of[-1:])
             count += int(new.sum())
-            of = np.searchsorted(self.lms, rows)
-            for k in np.unique(of // self.chunk):
-                mine = of // self.chunk == k
+            block = of // self.chunk
+            for k in np.unique(block) if self.chunk < len(self.lms) else (0,):
+                mine = block == k
                 named.put(int(k), np.stack([of[mine], names[mine]], 1).ravel())
         if count < len(self.lms):
             path = self.path()
@@ -377,7 +381,7 @@ class Level:
         with open(out, "wb") as f:
             for rows in self.induce(seeds):
                 rows.tofile(f)
-        for path in {first, ranked, self.lms.filename, self.is_lms.filename}:
+        for path in {first, ranked, *self.files}:
             os.unlink(path)
         return out
 
