@@ -58,6 +58,11 @@ def test_decontaminate(spark, docs, monkeypatch, block):
         assert sum(len(WORD.findall(texts[r.doc_id][s.a : s.b])) for s in r.spans) == sum(h.b - h.a for h in r.hit_words)
 
 
+def test_decontaminate_clashing_names(spark, docs):
+    with pytest.raises(ValueError):
+        D.decontaminate(docs([(1, "a")]), spark.createDataFrame([], "item_id long, text string"), others=("spans",))
+
+
 def test_decontaminate_empty(spark, docs, none):
     items = spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(docs([(1, "a b")]), items).first().items == []
@@ -390,6 +395,37 @@ def test_toxicity_learns(spark, docs):
     assert got[1000] < 0.3 <= got[1001] and all(0 <= s <= 1 for s in got.values())
 
 
+def plain_score(text, model):
+    """Score by the docstring's rules, entry by entry and word by word."""
+    w, hits = toxicity.fold(text), {}
+    for i, x in enumerate(w):
+        best = max((v for e, v in model["entries"].items() if e == f" {x} " or not e.endswith(" ") and x.startswith(e[1:])), default=0.0)
+        if best:
+            hits[i] = best
+    for i in range(len(w) - 1):
+        if f" {w[i]} {w[i + 1]} " in model["exceptions"]:
+            hits.pop(i, None), hits.pop(i + 1, None)
+    total = sum(hits.values())
+    x = (max(hits.values(), default=0.0), math.log1p(total), math.log1p(100 * total / (len(w) + 20)), 1.0)
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model["curve"]))))
+
+
+def test_toxicity_by_brute_force(docs):
+    rng = random.Random(17)
+    model = {"entries": {" grumbo ": 3.0, " flarn": 2.5, " flarnit ": 4.0, " moz": 2.0, " idiot ": 5.0}, "exceptions": [" flarnit engine ", " big idiot "], "curve": [0.4, 0.9, 0.7, -4.0]}
+    bits = ["grumbo", "Flarnit", "flarnits", "engine", "m0zzle", "big", "1d10t", "іdiot", "plain", "the", "of", "2024", "x", "fla rnit", "tr@sh"]
+    data = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choices(bits, k=rng.randrange(0, 40)))) for i in range(300)] + ODD + [(700, "flarnit engine " * 30_000 + "grumbo")]
+    got = Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs(data), model).collect())
+    assert got == Counter((i, round(plain_score(t, model), 9)) for i, t in data) and len(got) > 100
+
+
+def test_toxicity_labels_that_repeat(spark, docs):
+    """A doc_id with several labels is toxic if any says so, and rows that repeat it are learned from each."""
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    rows, have = toxicity.sampled(docs([(1, "a"), (1, "b"), (2, None), (3, "c"), (None, "d")]), labels, None, "doc_id", "text", "toxic", 10)
+    assert have == {True: 1, False: 1} and {(r.doc_id, r.text, r.toxic) for r in rows.collect()} == {(1, "a", True), (1, "b", True), (2, None, False)}
+
+
 def test_toxicity_without_classes(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels)

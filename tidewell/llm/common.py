@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
+from ..sources.scratch import shared_folder
+
 # Fixed value: the word rule of the contracts (ASCII digits and letters, and every non-ASCII character).
 WORD_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -48,16 +48,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Set here only where the session names none, as in tests."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidewell-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+    """The folder that all executors share. One is made up only in local mode, as in tests."""
+    return shared_folder(spark)
 
 
 def delete_tree(spark: SparkSession, path: str) -> None:

@@ -94,12 +94,14 @@ def _blocks(items: DataFrame, id_column: str, text_column: str):
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, text, n_words, hit_words (runs of word numbers), items, spans (runs of character offsets),
-    and the columns named in `others`.
+    and the columns named in `others`, which mustn't have those names (ValueError).
 
     The items are a query set: they're read in blocks of at most BLOCK_BYTES, each of which is one broadcast automaton.
     The usual set fits one block: the texts are scanned once, without a shuffle. Further blocks scan what came out of
     the one before and add their hits to each row.
     """
+    if clash := {"doc_id", "text", "n_words", "hit_words", "items", "spans"} & set(others):
+        raise ValueError(f"columns with the names of results: {sorted(clash)}")
     spark = docs.sparkSession
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
     schema = "".join(f"`{c}` {out.schema[c].dataType.simpleString()}, " for c in out.columns)

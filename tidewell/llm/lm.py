@@ -11,6 +11,9 @@ With discounts D1, D2, D3+ from the counts of counts,
     P(w)     = (n(. w) - D') / n(. .) + (D1' N1 + D2' N2 + D3' N3) / n(. .) / (V + 1)
 where n(. w) is the number of distinct tokens before w, and the last term also serves unknown tokens.
 
+A bucket holds the followers of its preceding tokens: those of one very frequent token are in one bucket, of which a task
+holds the distinct pairs, ten bytes each, however often they occur.
+
 Defined results: a null text is empty and is scored for its end alone; nothing to learn from gives every token
 probability 1 / (V + 1) = 1; rows are handled one by one, repeated or not; an empty table gives no rows; other columns
 aren't read.
@@ -19,6 +22,7 @@ aren't read.
 from __future__ import annotations
 
 import os
+import tempfile
 from functools import cache
 
 import numpy as np
@@ -162,26 +166,32 @@ def _place(folder: str):
 
 
 class Store:
-    """The model's arrays, memory-mapped. A folder of another file system is copied to the worker's own disk first."""
+    """The model's arrays, memory-mapped. Of a folder of another file system, the arrays that are asked for are copied to a
+    temporary folder of the worker, where its executor's own temporary files are."""
 
     def __init__(self, folder: str):
         from pyarrow import fs
 
-        place, self.root = _place(folder)
-        if not isinstance(place, fs.LocalFileSystem):
-            import tempfile
-
-            own = tempfile.mkdtemp(prefix="lm-")
-            fs.copy_files(self.root, own, source_filesystem=place, destination_filesystem=fs.LocalFileSystem())
-            self.root = own
+        self.place, self.root = _place(folder)
+        self.own = None if isinstance(self.place, fs.LocalFileSystem) else tempfile.mkdtemp(prefix="arrays-")
         self.open: dict[str, np.ndarray | None] = {}
 
     def get(self, name: str) -> np.ndarray | None:
         if name not in self.open:
             path = f"{self.root}/{name}.npy"
+            if self.own is not None:
+                path = self._fetched(path)
             self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.open[name]
 
+    def _fetched(self, path: str) -> str:
+        from pyarrow import fs
+
+        here = f"{self.own}/{os.path.basename(path)}"
+        if self.place.get_file_info(path).type != fs.FileType.NotFound:
+            fs.copy_files(path, here, source_filesystem=self.place, destination_filesystem=fs.LocalFileSystem())
+        return here
+
     def look_up(self, kind: str, hashes: np.ndarray, where: np.ndarray, buckets: int, *values: str) -> list[np.ndarray]:
         """Values of each hash, 0 where it isn't there. where: bucket of each."""
         out = [np.zeros(len(hashes), np.float64) for _ in values]
