@@ -67,19 +67,24 @@ ISO = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?
 def clock(text: Column) -> tuple[Column, Column]:
     """Whole seconds since 1970 and microseconds after them of an ISO 8601 text in the form of ISO, null for any other.
     Without a zone it is UTC."""
-    get = lambda i: F.regexp_extract(text, ISO, i)
-    number = lambda i: F.coalesce(F.nullif(get(i), F.lit("")).cast("long"), F.lit(0))
-    day = F.try_to_date(get(1), "yyyy-MM-dd")
-    fits = text.rlike(ISO) & day.isNotNull() & (number(2) < 24) & (number(3) < 60) & (number(4) < 60) & (number(8) < 24) & (number(9) < 60) & (F.year(day) > 0)
-    seconds = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + number(2) * 3600 + number(3) * 60 + number(4)
-    zone = (number(8) * 3600 + number(9) * 60) * F.when(get(7) == "-", -1).otherwise(1)
-    fraction = F.coalesce(F.rpad(F.nullif(F.substring(get(5), 1, 6), F.lit("")), 6, "0").cast("long"), F.lit(0))
+    number = lambda x: F.coalesce(F.nullif(x, F.lit("")).try_cast("long"), F.lit(0))
+    day, hour, minute = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"), number(F.substring(text, 12, 2)), number(F.substring(text, 15, 2))
+    second = F.when(F.substring(text, 17, 1) == ":", number(F.substring(text, 18, 2))).otherwise(0)
+    east = F.regexp_replace(F.regexp_extract(text, r"[+-]\d{2}:?\d{2}$", 0), ":", "")
+    zone_hour, zone_minute = number(F.substring(east, 2, 2)), number(F.substring(east, 4, 2))
+    fits = text.rlike(ISO) & day.isNotNull() & (hour < 24) & (minute < 60) & (second < 60) & (zone_hour < 24) & (zone_minute < 60) & (F.year(day) > 0)
+    seconds = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + hour * 3600 + minute * 60 + second
+    zone = (zone_hour * 3600 + zone_minute * 60) * F.when(east.startswith("-"), -1).otherwise(1)
+    digits = F.when(F.substring(text, 20, 1).isin(".", ","), F.regexp_extract(F.substring(text, 21, 9), r"^\d+", 0)).otherwise("")
+    fraction = number(F.rpad(F.substring(digits, 1, 6), 6, "0"))
     return F.when(fits, seconds - zone), F.when(fits, fraction)
 
 
-def instant(text: Column) -> dict[str, Column]:
-    """ts_iso, ts_epoch, date, month and hour of a text, in UTC; a text that is no time stays as it is, without the others."""
-    whole, rest = clock(text)
+def instant(text: Column, whole: Column | None = None, rest: Column | None = None) -> dict[str, Column]:
+    """ts_iso, ts_epoch, date, month and hour of a text, in UTC; a text that is no time stays as it is, without the others.
+    whole, rest: what `clock` says of the text, if it is a column already."""
+    if whole is None:
+        whole, rest = clock(text)
     shown = F.translate(epoch_text(whole), " ", "T")
     iso = F.concat(shown, F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
     return {
