@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import jaccard_join, kdtree, queries, suffix_dedup, suffix_sort, warc
+from tidewell.llm import graph, jaccard_join, kdtree, queries, suffix_dedup, suffix_sort, warc
 from tidewell.llm.graph import components
 
 from .conftest import ODD
@@ -110,6 +110,35 @@ def test_jaccard_without_broadcast(docs, monkeypatch):
     test_jaccard_repeated_ids(docs)
 
 
+@pytest.fixture
+def met(monkeypatch):
+    """Rows of links that meet labels in a round, for each time that components are looked for."""
+    rows, write = [], graph.stored
+
+    def stored(df, name):
+        out = write(df, name)
+        if name == "links":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", stored)
+    return rows
+
+
+def near_copies(n):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    return [(k, " ".join([*base[: (p := rng.randrange(120))], f"new{k}", *base[p + 1 :]])) for k in range(n)]
+
+
+def test_jaccard_links_grow_with_a_group(docs, monkeypatch, met):
+    """A group of near copies over many blocks: every link is counted, and links as rows grow with it, not with its square."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    for n in (80, 160):
+        assert {(r.n_links, r.group_id) for r in jaccard_join.join(docs(near_copies(n))).collect()} == {(n - 1, 0)}
+    assert len(met) == 4 and all(x <= 6 * n for x, n in zip(met, (80, 80, 160, 160), strict=True)), met
+
+
 def test_jaccard_empty(none):
     assert jaccard_join.join(none).count() == 0
 
@@ -120,6 +149,20 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_dense_links(spark, met):
+    rng = random.Random(4)
+    dense = [(a, b) if rng.random() < 0.5 else (b, a) for a in range(1000, 1060) for b in range(1000, a)]
+    links = dense + [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + d) for k in range(300, 330) for d in (1, 2)]
+    want = {x: x for link in links for x in link}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    loops = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: c for x, c in want.items() if x not in loops}
+    assert len(met) == 1 and met[0] <= 3 * len(want)
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 

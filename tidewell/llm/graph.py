@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -11,10 +11,17 @@ from .common import stored
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (its least id) for every id that a link names. Nulls and loops are ignored; no links, no rows.
 
+    Rounds join links with labels, so links are thinned first: an id that links to several lesser ids keeps the link to the
+    least of them, which takes its links to the others over. Where all ids of a group share a few of them, as near copies do,
+    that leaves about one link an id, however many there were. The lesser ids of one id meet in a task.
+
     Each round takes the least label among neighbours and then the label of that label, so that a chain of n links needs
     about log n rounds. Rounds are written to the shared folder.
     """
-    links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
+    one, other = F.col(a).cast("long"), F.col(b).cast("long")
+    links = links.where(one != other).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+    links = links.select("b", F.col("a").alias("lesser"), F.min("a").over(Window.partitionBy("b")).alias("a"))
+    links = links.select("a", F.when(F.col("lesser") == F.col("a"), F.col("b")).otherwise(F.col("lesser")).alias("b")).distinct()
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:

@@ -115,17 +115,20 @@ def alive(sig: np.ndarray, p: int, others: np.ndarray) -> np.ndarray:
     return others
 
 
-def joined(ids: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join a bucket's documents to components by pairs that survive. Least ids come first, so that buckets
-    that share documents give the same links."""
+def joined(ids: np.ndarray, sig: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join a bucket's documents to components by pairs that survive: one for each two components that become
+    one. With two sides, only those that join across them, since each side meets by itself as well. Least ids come first,
+    so that buckets that share documents give the same links."""
     order = np.argsort(ids)
-    ids, sig = ids[order], sig[order]
-    label, out = np.arange(len(ids)), []
-    for p in range(len(ids) - 1):
-        others = np.flatnonzero(label[p + 1 :] != label[p]) + p + 1
-        if len(others) and len(left := alive(sig, p, others)):
-            out += [(int(ids[p]), int(ids[x])) for x in left]
-            label[np.isin(label, label[left])] = label[p]
+    ids, sig, side = ids[order], sig[order], side[order]
+    label, out, cross = np.arange(len(ids)), [], side.min() != side.max()
+    for across in (False, True) if cross else (False,):
+        for p in range(len(ids) - 1):
+            others = np.flatnonzero((label[p + 1 :] != label[p]) & ((side[p + 1 :] != side[p]) == across)) + p + 1
+            if len(others) and len(left := alive(sig, p, others)):
+                if across == cross:
+                    out += [(int(ids[p]), int(ids[x])) for x in left[np.unique(label[left], return_index=True)[1]]]
+                label[np.isin(label, label[left])] = label[p]
     return out
 
 
@@ -180,10 +183,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
 
     def bucket(t):
         ids, sig = t["node"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), COMPARED)
-        found = joined(ids, sig)
+        found = joined(ids, sig, t["own"].to_numpy())
         return {"a": [a for a, _ in found], "b": [b for _, b in found]}
 
-    near = by_group(in_blocks(held, "count", "node").select("key", "i", "j", "node", "sig"), ["key", "i", "j"], bucket, "a long, b long")
+    near = by_group(in_blocks(held, "count", "node").select("key", "i", "j", "own", "node", "sig"), ["key", "i", "j"], bucket, "a long, b long")
     likely = components(near)
     members = stored(likely.join(likely.groupBy("component").count(), "component").join(classes.select("node", "class_id", "class_tag", "class_size", "sig"), F.col("id") == F.col("node")).drop("id"), "members")
 
