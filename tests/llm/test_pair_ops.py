@@ -58,6 +58,27 @@ def similar(data, run=5, t=0.8):
     return [(a, b) for a in range(len(data)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9]
 
 
+@pytest.fixture
+def met(monkeypatch):
+    """Rows of links that meet labels in a round, for each time that components are looked for."""
+    rows, write = [], graph.stored
+
+    def stored(df, name):
+        out = write(df, name)
+        if name == "links":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "stored", stored)
+    return rows
+
+
+def near_copies(n):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    return [(k, " ".join([*base[: (p := rng.randrange(120))], f"new{k}", *base[p + 1 :]])) for k in range(n)]
+
+
 @pytest.mark.parametrize("block", [512, 5])
 def test_jaccard_join(docs, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
@@ -105,32 +126,21 @@ def test_near_duplicates_repeated_ids(spark, docs):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, a), (5, b), (9, None), (9, None), (None, a)])
 
 
+def test_near_duplicates_of_a_large_group(spark, docs, monkeypatch, met):
+    """Of a group over many blocks one document stays, and links as rows grow with it, not with its square."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    data = near_copies(160) + [(500, "another text"), (501, None)]
+    rows = docs(data).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, rows, "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 500, 501]
+    assert len(met) == 2 and max(met) <= 6 * 160, met
+
+
 def test_jaccard_without_broadcast(docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     test_jaccard_repeated_ids(docs)
 
 
-@pytest.fixture
-def met(monkeypatch):
-    """Rows of links that meet labels in a round, for each time that components are looked for."""
-    rows, write = [], graph.stored
-
-    def stored(df, name):
-        out = write(df, name)
-        if name == "links":
-            rows.append(out.count())
-        return out
-
-    monkeypatch.setattr(graph, "stored", stored)
-    return rows
-
-
-def near_copies(n):
-    rng = random.Random(n)
-    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
-    return [(k, " ".join([*base[: (p := rng.randrange(120))], f"new{k}", *base[p + 1 :]])) for k in range(n)]
-
-
 def test_jaccard_links_grow_with_a_group(docs, monkeypatch, met):
     """A group of near copies over many blocks: every link is counted, and links as rows grow with it, not with its square."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
