@@ -244,6 +244,25 @@ def test_remove_repeats(docs, monkeypatch, pieces, held):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_shard_writes_strings_of_many_anchors_together(monkeypatch):
+    """Most anchors bring a shard two or three strings. Its files are written once for many of them, and what waits in
+    memory is bounded; the runs are the same."""
+    rng = random.Random(9)
+    both = ["".join(rng.choices("abcdefgh", k=50)).encode() for _ in range(1_000)]
+    writes = lambda: int(re.search(r"syscw: (\d+)", open("/proc/self/io").read())[1])
+    for buffer in (suffix_dedup.BUFFER, 300):
+        monkeypatch.setattr(suffix_dedup, "BUFFER", buffer)
+        shard, before = suffix_dedup.Shard(2_000_000, 50), writes()
+        for i, text in enumerate(both):
+            shard.add([(b"x" + text + b"y", 1, i, 0, 7), (text + b"z", 2, i, 1, 5)])
+            assert sum(len(x[0]) for x in shard.buffer) <= buffer
+        if buffer > 300:
+            assert writes() - before < len(both)
+        runs = [r for found in shard.covered() for r in zip(*(found[k].tolist() for k in ("r1", "r2", "start", "end")), strict=True)]
+        shard.close()
+        assert sorted(runs) == [(i, 1, 5, 6) for i in range(len(both))]
+
+
 def test_remove_repeats_empty(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 

@@ -35,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, map_rows, shared_path, small_batches, stored, utf8
-from .suffix_sort import HELD, Queues, read, suffixes
+from .common import by_group, map_rows, shared_path, small_batches, stored
+from .suffix_sort import HELD, Queues, narrow, read, suffixes
 
 #: Bytes of a match; of an anchor; mean bytes of a piece (a power of two); of the window that decides a cut.
 LENGTH, GRAM, PIECE, CUT = 50, 20, 256, 16
 #: Characters of input for one shard: shards grow in number with the input.
 SHARD_CHARS = 8_000_000
 #: Shards of strings for each shard of anchors; documents whose strings a task holds before it sends them on; strings of
-#: one anchor that wait for a second document.
-SPLIT, SLICE, WAITING = 8, 1_000, 2_000
+#: one anchor that wait for a second document; characters that a shard holds before it writes its files.
+SPLIT, SLICE, WAITING, BUFFER = 8, 1_000, 2_000, 1 << 18
 
 
 # ---------------------------------------------------------------- equal strings of a shard
@@ -66,15 +66,24 @@ class Shard:
     """Strings of a shard in files, and the runs of their starts that a smaller document covers."""
 
     def __init__(self, held: int, length: int):
-        self.held, self.length, self.strings, self.size = held, length, 0, 0
+        self.held, self.length, self.strings, self.size, self.buffer, self.room = held, length, 0, 0, [], BUFFER
         self.folder = tempfile.mkdtemp(prefix="suffixes-")  # the worker's own disk: gone when the shard is done
         self.files = {k: open(os.path.join(self.folder, k), "wb") for k in ("text", "fits", "start", "doc", "r1", "r2", "at")}
 
     def add(self, strings: list[tuple[bytes, int, int, int, int]]) -> None:
-        """Strings with their document, their row's key, and where in the row each begins."""
-        if not strings:
+        """Strings with their document, their row's key, and where in the row each begins. Most anchors bring a few
+        strings, so those of many are written together."""
+        self.buffer += strings
+        self.strings += len(strings)
+        self.room -= sum(len(s[0]) for s in strings)
+        if self.room < 0:
+            self.write()
+
+    def write(self) -> None:
+        if not self.buffer:
             return
-        texts, *others = zip(*strings, strict=True)
+        texts, *others = zip(*self.buffer, strict=True)
+        self.buffer, self.room = [], BUFFER
         (np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 2).tofile(self.files["text"])
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = self.size + np.cumsum(size + 1)
@@ -82,7 +91,6 @@ class Shard:
         np.repeat(np.tile(np.array([1, 0], np.uint8), len(texts)), np.stack([starts, size + 1 - starts], 1).ravel()).tofile(self.files["fits"])
         for k, v in zip(("start", "doc", "r1", "r2", "at"), (ends - size - 1, *others), strict=True):
             np.asarray(v, np.int64).tofile(self.files[k])
-        self.strings += len(texts)
         self.size = int(ends[-1])
 
     def close(self) -> None:
@@ -94,6 +102,7 @@ class Shard:
         """r1, r2, start, end of covered runs."""
         if not self.strings:
             return
+        self.write()
         self.files["text"].write(b"\0\0")
         for f in self.files.values():
             f.flush()
@@ -178,10 +187,15 @@ def rolling(x: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     up, down = _powers(1 << max(16, (n + 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_table()[x] * up[:n], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    terms = _table().take(x)
+    terms *= up[:n]
+    np.cumsum(terms, out=sums[1:])
+    h = np.subtract(sums[k:], sums[:-k], out=terms[: n - k + 1])
+    h *= down[: n - k + 1]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -198,8 +212,13 @@ def pieces(x: np.ndarray, length: int = LENGTH) -> np.ndarray:
     last = len(x) - length + 1
     if last <= 0:
         return np.zeros(0, np.int64)
-    cut = np.flatnonzero(rolling(x, CUT) % np.uint64(PIECE) == 0) + CUT
-    return np.unique(np.concatenate([[0], cut[cut < last], [last]]))
+    cut = np.flatnonzero(rolling(x, CUT) & np.uint64(PIECE - 1) == 0) + CUT
+    return np.concatenate([[0], cut[cut < last], [last]])
+
+
+def turns(h: np.ndarray) -> np.ndarray:
+    """Where a value begins that differs from the one before."""
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
 
 def anchors(x: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -231,14 +250,24 @@ def _columns(rows: list[tuple], n: int) -> list:
     return list(zip(*rows, strict=True)) if rows else [()] * n
 
 
+def _bytes(texts: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of each text, as Arrow holds them. A null is empty."""
+    raw = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+    return [x or b"" for x in raw.to_pylist()]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """r1, r2, doc and bytes of each row of a batch."""
+    return zip(*[batch.column(k).to_pylist() for k in range(3)], _bytes(batch.column(3)), strict=True)
+
+
 def cut_pieces(docs: DataFrame) -> DataFrame:
     """r1, r2, doc, start, end and 128-bit key of each piece. docs: r1, r2, doc, text."""
     import xxhash
 
     def run(batch):
         names, rows, keys = ("r1", "r2", "doc", "start", "end", "k1", "k2"), [], []
-        for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            raw = utf8(text)
+        for r1, r2, doc, raw in _rows(batch):
             cuts = pieces(np.frombuffer(raw, np.uint8)).tolist()
             rows += [(r1, r2, doc, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             keys += [xxhash.xxh3_128_digest(raw[a : b + LENGTH - 1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -299,20 +328,21 @@ def repeated_anchors(docs: DataFrame, shards: int, runs: Runs) -> str:
 
     def pack(batch):
         hashes, owners = [], []
-        for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            h, left = open_starts(utf8(text), runs.of(r1, r2))
-            if left.any():
-                hashes.append(np.unique(h[left]))
+        for r1, r2, doc, raw in _rows(batch):
+            h, left = open_starts(raw, runs.of(r1, r2))
+            h = h[left]
+            if len(h):
+                hashes.append(h[turns(h)])
                 owners.append(np.full(len(hashes[-1]), doc, np.int64))
         out = {"shard": [], "blob": []}
         if hashes:
             h, d = np.concatenate(hashes), np.concatenate(owners)
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, d = h[order], d[order]
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            new = turns(h)
             low, many = np.minimum.reduceat(d, new), np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new)
             h = h[new]
-            of = shard_of(h, shards)
+            of = narrow(shard_of(h, shards))
             order = np.argsort(of, kind="stable")  # by hash within a shard
             h, low, many = h[order], low[order], many[order]
             cuts = np.searchsorted(of[order], np.arange(shards + 1))
@@ -327,9 +357,9 @@ def repeated_anchors(docs: DataFrame, shards: int, runs: Runs) -> str:
     def add(t):
         got = [_unpack(x, "<u8", "<i8", "?") for x in t["blob"].to_pylist()]
         h, d, many = (np.concatenate(x) for x in zip(*[(np.cumsum(h, dtype=np.uint64), d, m) for h, d, m in got], strict=True))
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, d, many = h[order], d[order], many[order]
-        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        new = turns(h)
         again = np.maximum.reduceat(many, new) | (np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new))
         shard = t["shard"][0].as_py()
         _save(folder, str(shard), anchors=h[new][again])
@@ -356,10 +386,8 @@ def candidates(docs: DataFrame, folder: str, shards: int, runs: Runs) -> DataFra
     from .lm import _store
 
     def run(batch):
-        names, rows = ("kind", "r1", "r2", "doc", "start", "end", "shard", "anchor", "hash", "text"), []
-        store, found, texts = _store(folder), {}, []
-        for r1, r2, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            raw = utf8(text)
+        store, texts = _store(folder), []
+        for r1, r2, doc, raw in _rows(batch):
             h, left = open_starts(raw, runs.of(r1, r2))
             at = np.flatnonzero(left)
             if len(at):
@@ -367,7 +395,7 @@ def candidates(docs: DataFrame, folder: str, shards: int, runs: Runs) -> DataFra
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (h[at[1:]] != h[at[:-1]])]))
                 texts.append((doc, r1, r2, raw, at[new], at[np.append(new[1:], len(at)) - 1] + 1, h[at[new]]))
         mine = np.concatenate([x[-1] for x in texts]) if texts else np.zeros(0, np.uint64)
-        of, hit = shard_of(mine, shards), np.zeros(len(mine), bool)
+        of, hit = narrow(shard_of(mine, shards)), np.zeros(len(mine), bool)
         order = np.argsort(of, kind="stable")
         cuts = np.searchsorted(of[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
@@ -375,23 +403,30 @@ def candidates(docs: DataFrame, folder: str, shards: int, runs: Runs) -> DataFra
             if held is not None and len(held):
                 some = order[cuts[s] : cuts[s + 1]]
                 hit[some] = held[np.minimum(np.searchsorted(held, mine[some]), len(held) - 1)] == mine[some]
-        done = 0
-        for doc, r1, r2, raw, first, last, h in texts:
-            on = hit[done : done + len(h)]
+        on, strings, n, done = np.flatnonzero(hit), [], [], 0
+        for _, _, _, raw, first, last, h in texts:
+            some = hit[done : done + len(h)]
             done += len(h)
-            for anchor, a, b in zip(h[on].tolist(), first[on].tolist(), last[on].tolist(), strict=True):
-                found.setdefault((anchor, raw[a : b + LENGTH - 1]), []).append((doc, r1, r2, a, b))
-        digest, all_ones = xxhash.xxh3_64_intdigest, 0xFFFFFFFFFFFFFFFF
-        for (anchor, string), places in found.items():
-            least = min(places)[0] if len(places) > 1 else places[0][0]
-            signed = anchor - (1 << 64) if anchor >= 1 << 63 else anchor
-            for doc, r1, r2, a, b in places:
-                if doc == least:
-                    shard = ((anchor * _MIX & all_ones) >> 32) * (SPLIT * shards) >> 32
-                    rows.append((1, r1, r2, doc, a, b, shard, signed, digest(string) >> 1, string))
-                else:
-                    rows.append((0, r1, r2, doc, a, b, None, signed, None, None))
-        yield dict(zip(names, _columns(rows, len(names)), strict=True))
+            strings += [raw[a:b] for a, b in zip(first[some].tolist(), (last[some] + LENGTH - 1).tolist(), strict=True)]
+            n.append(int(some.sum()))
+        doc, r1, r2 = (np.repeat(np.array([x[k] for x in texts], np.int64), n) for k in range(3))
+        start, end = (np.concatenate([x[k] for x in texts])[on] if texts else on for k in (4, 5))
+        # Equal strings have equal anchors. Those of a larger document than another's go no further.
+        seen, covered, same = {}, np.zeros(len(on), bool), {}
+        for i, string in enumerate(strings):
+            if (first := seen.setdefault(string, i)) != i:
+                same.setdefault(first, [first]).append(i)
+        for group in same.values():
+            covered[group] = doc[group] > doc[group].min()
+        anchor = mine[on]
+        digests = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings)) >> np.uint64(1)
+        yield {
+            "kind": 1 - covered.astype(np.int32), "r1": r1, "r2": r2, "doc": doc, "start": start, "end": end,
+            "shard": pa.array(shard_of(anchor, SPLIT * shards), mask=covered),
+            "anchor": anchor.view(np.int64),
+            "hash": pa.array(digests.view(np.int64), mask=covered),
+            "text": [None if c else string for string, c in zip(strings, covered.tolist(), strict=True)],
+        }
 
     import xxhash
 
@@ -470,7 +505,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batch):
         rows = []
-        for raw, r1, r2 in zip(map(utf8, batch.column(1).to_pylist()), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for raw, r1, r2 in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             spans: list[list[int]] = []
             for a, b in runs.of(r1, r2).tolist():
                 if spans and a <= spans[-1][1]:

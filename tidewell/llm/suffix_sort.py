@@ -79,6 +79,11 @@ def joined(parts: list[np.ndarray], size: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on as 16 bits if they fit: those are sorted by radix."""
+    return x.astype(np.uint16) if len(x) and x.max() < 65_536 else x
+
+
 def read(path: str, size: int, back: bool = False) -> Iterator[np.ndarray]:
     """A file of 64-bit numbers in chunks, from either end."""
     n = os.path.getsize(path) // 8
@@ -176,8 +181,9 @@ class Level:
             x = np.asarray(self.t[a : b + 1]).astype(np.int64)
             if b == self.n:
                 x = np.append(x, -1)  # the last character is S by definition
-            differ = np.flatnonzero(x[:-1] != x[1:])
-            at = np.searchsorted(differ, np.arange(b - a))
+            turns = x[:-1] != x[1:]
+            differ, at = np.flatnonzero(turns), np.zeros(b - a, np.int64)
+            np.cumsum(turns[: b - a - 1], out=at[1:])  # how many places before differ from the next
             types = np.full(b - a, s)
             inner = at < len(differ)
             k = differ[at[inner]]
@@ -264,7 +270,7 @@ class Level:
         known, of the kind that is sorted and of the other; each is sorted by character here. near: (character before,
         character, kind) -> whether the suffix before is of the kind and in the stretch. far: sign of the sweep."""
         char = [self.t[g].astype(np.int64) * far for g in groups]
-        order = [np.argsort(c, kind="stable") for c in char]
+        order = [np.argsort(narrow(c - c.min() if len(c) else c), kind="stable") for c in char]
         pos = [g[o] for g, o in zip(groups, order, strict=True)]
         char = [c[o] for c, o in zip(char, order, strict=True)]
         kind = [np.full(len(pos[0]), 0, np.int8), np.full(len(pos[1]), 2, np.int8)]
@@ -281,18 +287,19 @@ class Level:
             front, n = (p, ch, np.zeros(len(p), np.int8), np.arange(n, n + len(p))), n + len(p)
         pos, char, kind, after = (np.concatenate(x) for x in (pos, char, kind, after))
         # Ranks: known suffixes have their own, those that depend on others share the first place of their character.
-        cls = (char - char.min() if n else char) * 4 + kind
+        cls = narrow((char - char.min() if n else char) * 4 + kind)
         order = np.argsort(cls, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         mine = np.flatnonzero(kind == 1)
         if len(mine):
-            sorted_cls = cls[order]
-            rank[mine] = np.searchsorted(sorted_cls, cls[mine])
+            sorted_cls, first = cls[order], np.zeros(n, np.int64)
+            first[1:] = np.where(sorted_cls[1:] != sorted_cls[:-1], np.arange(1, n), 0)
+            rank[mine] = np.maximum.accumulate(first)[rank[mine]]
             jump, todo = after.copy(), mine
             while len(todo):
                 a, b = rank[todo], rank[jump[todo]]
-                o = np.lexsort((b, a))
+                o = np.argsort(a * n + b)
                 a, b, todo = a[o], b[o], todo[o]
                 new_a = np.concatenate([[True], a[1:] != a[:-1]])
                 new = new_a | np.concatenate([[True], b[1:] != b[:-1]])
@@ -302,7 +309,7 @@ class Level:
                 further = jump[jump[todo]]
                 rank[todo], jump[todo] = a + first - start, further
                 todo = todo[~new | np.append(~new[1:], False)]  # those that still share a rank
-        order = np.argsort(rank)
+        order[rank] = np.arange(n)
         return pos[order], kind[order] == 2
 
     def _together(self, r: int, up: Queues, seeds: Queues) -> Iterator[np.ndarray]:
